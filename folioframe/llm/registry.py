@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality_rules import op5_quality_rules
+from .secret_scan import op10_secret_scan
 from .suffix_dedup import op1_suffix_dedup
 from .substring_dedup import op3_substring_dedup
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op3_substring_dedup]
+    found = [op1_suffix_dedup, op2_toxicity, op3_substring_dedup, op5_quality_rules, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
