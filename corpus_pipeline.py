@@ -1,8 +1,67 @@
-"""Corpus pipeline; stages are added as their operators are built."""
+"""Corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
 
-STAGES = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that
+is written as Parquet and read again as the next one's docs. All but the last return the columns of
+``documents``. A stage works on all rows its predecessor kept. Edge cases are those of the operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioframe.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
+from folioframe.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5; the model learns from the labelled rows of ``docs``."""
+    model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of lines that earlier ones hold; those of which nothing is left go.
+
+    ``n_chars`` follows the shorter text.
+    """
+    had = docs.withColumn("_had", F.coalesce(F.col("text"), F.lit("")) != "")
+    out = line_dedup.line_dedup(had).where((F.coalesce(F.col("text"), F.lit("")) != "") | ~F.col("_had"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    return jaccard_join.drop_near_duplicates(docs).select(docs.columns)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their bins."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_copies),
+    ("benchmark decontamination", drop_leaked),
+    ("best-fit packing", pack),
+]
+
+#: The stages are models, alignments and searches that SQL cannot express; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

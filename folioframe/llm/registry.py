@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_decontamination
+from .jaccard_join import op6_jaccard_join
+from .line_dedup import op9_line_dedup
+from .packing import op7_packing
+from .pii import op8_pii
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
 from .suffix_dedup import op1_suffix_dedup
@@ -14,7 +19,7 @@ from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_toxicity, op3_substring_dedup, op5_quality_rules, op10_secret_scan]
+    found = [op1_suffix_dedup, op2_toxicity, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_jaccard_join, op7_packing, op8_pii, op9_line_dedup, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 

@@ -198,33 +198,47 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model
     return Model(weights[:1], lam[:1], log_k, tuple(float(b) for b in beta))
 
 
-def score_toxicity(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, score, and passages: token ranges with their evidence in nats."""
+def _scored(rows: DataFrame, model: Model | float, fields: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` (_t and other columns) with score and passages instead of _t; fields are (name, type) of the others."""
     import pyarrow as pa
 
     plain = (0, 0, 0, model) if isinstance(model, float) else (model.weights[0], float(model.lam[0]), model.log_k, model.link)
-    shared = docs.sparkSession.sparkContext.broadcast(plain)  # of a fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(plain)  # of a fixed size
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("nats", pa.float64())]))
+    names = [n for n, _ in fields]
 
     def emit(batches: Iterator) -> Iterator:
         weights, lam, log_k, link = shared.value
         for batch in batches:
-            if isinstance(link, float):
-                yield pa.RecordBatch.from_arrays([batch.column("_d"), pa.array([link] * batch.num_rows, pa.float64()), pa.array([[]] * batch.num_rows, kind)], names=[id_col, "score", "passages"])
-                continue
-            bucket, first = _tokens(*binary_parts(batch.column("_t")))
-            values = weights[bucket]
             scores, passages = [], []
-            for i in range(batch.num_rows):
-                own = values[first[i] : first[i + 1]]
-                best, every, found = _evidence(own, lam, log_k)
-                scores.append(_chance(link, _features(best, every, len(own))))
-                passages.append([{"start": a, "end": b, "nats": e} for a, b, e in found])
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[id_col, "score", "passages"])
-
-    of = docs.schema[id_col].dataType.simpleString()
+            if isinstance(link, float):
+                scores, passages = [link] * batch.num_rows, [[]] * batch.num_rows
+            else:
+                bucket, first = _tokens(*binary_parts(batch.column("_t")))
+                values = weights[bucket]
+                for i in range(batch.num_rows):
+                    own = values[first[i] : first[i + 1]]
+                    best, every, found = _evidence(own, lam, log_k)
+                    scores.append(_chance(link, _features(best, every, len(own))))
+                    passages.append([{"start": a, "end": b, "nats": e} for a, b, e in found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*names, "score", "passages"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in fields)
+    return rows.mapInArrow(emit, f"{schema}, score double, passages array<struct<start:long,end:long,nats:double>>")
+
+
+def score_toxicity(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, score, and passages: token ranges with their evidence in nats."""
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_d"), _text(text_col))
-    return rows.mapInArrow(emit, f"`{id_col}` {of}, score double, passages array<struct<start:long,end:long,nats:double>>")
+    return _scored(rows, model, [("_d", kind)]).withColumnRenamed("_d", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model | float, text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``most``."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _text(text_col))
+    out = _scored(rows, model, [("_row", docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("x")).schema["x"].dataType.simpleString())])
+    return out.where(F.col("score") < most).select("_row.*")
 
 
 def held_out(id_col: str = "doc_id"):
