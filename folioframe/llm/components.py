@@ -26,9 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         last = told
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = materialize(least, "least")  # as a stored side, so that Spark can split a hub's rows
         large = both.join(least, a == F.col("u")).where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        least = materialize(least, "least")
         small = large.join(least, a == F.col("u")).where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         now = materialize(small, "small-star")

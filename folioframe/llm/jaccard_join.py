@@ -233,6 +233,7 @@ def jaccard_classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     sets = materialize(sets, "sets")
     band = sets.select("sid", F.posexplode("bands").alias("band", "hash"))
     hubs = band.groupBy("band", "hash").agg(F.min("sid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = materialize(hubs, "hubs")  # as a stored side, so that Spark can split a hot bucket's rows
     groups = materialize(components(band.join(hubs, ["band", "hash"]).where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))), "groups")
 
     nodes = groups.join(sets.drop("bands"), groups["node"] == sets["sid"]).select(F.col("root").alias("cid"), "sid", "copies", "rep", "size")

@@ -95,6 +95,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     key = F.struct(F.col("_d").isNull().alias("z"), "_d", "_h")
     each = own.select(key.alias("k"), F.explode(F.array_distinct(F.arrays_zip("hash", "size"))).alias("x")).select("k", F.col("x.hash").alias("hash"), F.col("x.size").alias("size")).where(F.col("size") >= MIN_LINE)
     held = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1")
+    held = materialize(held, "holders")  # as a stored side, so that Spark can split a hot line's rows
     pairs = each.join(held, "hash").where(F.col("k") != F.col("first")).groupBy("k", "first").agg(F.min("n").alias("n"), F.sum("size").alias("shared"))
     pairs = pairs.where((F.col("n") <= RARE) | (F.col("shared") >= MIN_SHARED)).select("k", "first")
     side = lambda p: own.select(key.alias(p), F.col("hash").alias(f"{p}_hash"), F.col("size").alias(f"{p}_size"))

@@ -157,7 +157,8 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
         """Whether a row is repeated, given that all hulls of its core are equal."""
         return own > F.col("d0") if across else F.lit(True)
 
-    first = counted(rows, ["sym"], "rk").drop("n")
+    # Stored first: a join side that is an aggregate itself would keep Spark from splitting a hot anchor's rows.
+    first = materialize(counted(rows, ["sym"], "rk").drop("n"), "anchors")
     met = materialize(rows.join(first, "sym").withColumn("own", order), "met")
     plain = met.where((F.col("h0") == F.col("h1")) & whole(F.col("own"))).select("_d", "_h", "lr")
     mixed = met.where("h0 <> h1").select("_d", "_h", "sym", "rk", "lr", "off", "own")
@@ -168,7 +169,7 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
     reps = materialize(_slices(docs, by_hull.select("rep._d", "rep._h", "sym", "rk", "rep.lr", "rep.off"), unit), "slices")
 
     blocks = materialize(_blocks(reps, unit, BLOCK), "blocks").withColumn("own", order)
-    told = blocks.join(counted(blocks, ["sym", "key"], "hull"), ["sym", "key"])
+    told = blocks.join(materialize(counted(blocks, ["sym", "key"], "hull"), "cores"), ["sym", "key"])
     told = materialize(told.where((F.col("h0") != F.col("h1")) | whole(F.col("own"))).select("sym", "rk", "lo", "hi", (F.col("h0") != F.col("h1")).alias("open")), "told")
     todo = told.where("open").groupBy("sym", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("todo"))
     single = materialize(_blocks(reps.join(todo, ["sym", "rk"]), unit, 1), "single").withColumn("own", order)
