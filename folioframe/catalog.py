@@ -1,9 +1,17 @@
 """Registered queries of the layout engine and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from .plans import document_queries, text_queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return text_queries.QUERIES | document_queries.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return text_queries.ORACLES | document_queries.ORACLES
