@@ -2,8 +2,8 @@
 
 The field tags each word begin (B), inside (I) or outside (O) of a secret. Its features are the word's
 shape, length, alphabet and key words, the classes of neighbouring words, and how much the file looks
-like code. It is trained here, on the driver, from ``TRAIN_DOCS`` documents (the first in hash order,
-tagged by the patterns) and from generated lines with secrets of many formats; this bound is the only
+like code. It is trained here, on the driver, from about ``TRAIN_DOCS`` documents (those of the lowest
+hashes, tagged by the patterns) and from generated lines with secrets of many formats; this bound is the only
 sample. Decoding is exact Viterbi: a word whose outside score exceeds the others by more than any two
 transitions can give back is outside on every best path, so paths are searched between such words only.
 
@@ -408,10 +408,12 @@ def scan(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[list[tup
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
-    """Field from generated lines and the first ``train_docs`` texts in hash order."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
-    texts = [r["t"] for r in rows.orderBy(F.xxhash64("t"), F.length("t")).limit(train_docs).collect()]
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Field from generated lines and about ``train_docs`` texts: those whose hash is in the lowest share."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    share = min(1.0, train_docs / max(1, rows.count()))
+    few = rows.where(F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1)))).limit(4 * train_docs)
+    texts = sorted(r["t"] for r in few.collect())
     samples = []
     for t in texts:
         samples.append((*_tagged(t, [(a, b) for a, b, _ in base_spans(t)]), file_class(t, len(_WORD.findall(t)))))

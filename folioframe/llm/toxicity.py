@@ -8,7 +8,7 @@ distribution, a segment of score S in n tokens has ``lam * S - ln(K * n)`` nats
 link, fitted on out-of-fold evidence of labelled rows, turns the evidence into a score from 0 to 1.
 
 Counting covers all labelled training rows. Only the link is fitted on a sample:
-``calibration_rows`` rows, the first in hash order. Null and empty texts have no tokens and get the
+about ``calibration_rows`` rows, those of the lowest hashes. Null and empty texts have no tokens and get the
 score of no evidence. Ids with several labels count as toxic if one label says so; without any toxic
 or any clean label, every score is the share of toxic labels (0 without labels).
 """
@@ -177,8 +177,9 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model
                 out.append([float(lam[f + 1]) * s - chance for _, _, s in maximal_segments(score)] or [-chance])
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.float64())), pa.array(np.diff(first))], names=["toxic", "nats", "n"])
 
-    sample = labelled.orderBy("order").limit(calibration_rows)
-    got = sample.select("_t", "toxic", "fold").mapInArrow(judge, "toxic int, nats array<double>, n long").toPandas()
+    share = min(1.0, calibration_rows / sum(rows.values()))
+    sample = labelled.where(F.col("order") <= F.lit(int((2 * share - 1) * (2**63 - 1))))
+    got = sample.select("_t", "toxic", "fold").mapInArrow(judge, "toxic int, nats array<double>, n long").limit(2 * calibration_rows).toPandas()
     toxic, n = got["toxic"].to_numpy(float), got["n"].to_numpy()
     nats = [np.asarray(x, float) for x in got["nats"]]
     best = np.array([x.max() for x in nats])
