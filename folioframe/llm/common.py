@@ -97,3 +97,8 @@ def chunks(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
         found.append((first, last))
         first = last
     return found
+
+
+def lowest_share(hashes, share: float):
+    """Condition for rows whose 64-bit hash is in the lowest ``share`` of all hashes: a sample without a sort."""
+    return hashes <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))

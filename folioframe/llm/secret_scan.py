@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, binary_parts, chunks, table
+from .common import WORD_PATTERN, binary_parts, chunks, lowest_share, table
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_DOCS = 60
@@ -412,7 +412,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
     """Field from generated lines and about ``train_docs`` texts: those whose hash is in the lowest share."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
     share = min(1.0, train_docs / max(1, rows.count()))
-    few = rows.where(F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1)))).limit(4 * train_docs)
+    few = rows.where(lowest_share(F.col("h"), share)).limit(4 * train_docs)
     texts = sorted(r["t"] for r in few.collect())
     samples = []
     for t in texts:

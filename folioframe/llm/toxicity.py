@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, chunks, table
+from .common import binary_parts, chunks, lowest_share, table
 from .recompression import word_names, words
 
 BITS = 18
@@ -178,7 +178,7 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.float64())), pa.array(np.diff(first))], names=["toxic", "nats", "n"])
 
     share = min(1.0, calibration_rows / sum(rows.values()))
-    sample = labelled.where(F.col("order") <= F.lit(int((2 * share - 1) * (2**63 - 1))))
+    sample = labelled.where(lowest_share(F.col("order"), share))
     got = sample.select("_t", "toxic", "fold").mapInArrow(judge, "toxic int, nats array<double>, n long").limit(2 * calibration_rows).toPandas()
     toxic, n = got["toxic"].to_numpy(float), got["n"].to_numpy()
     nats = [np.asarray(x, float) for x in got["nats"]]
