@@ -241,7 +241,8 @@ def jaccard_classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("all") / BLOCK_SHINGLES)).cast("int")
     nodes = nodes.join(bound.select("cid", blocks.alias("blocks")), "cid").withColumn("blk", F.pmod(F.xxhash64("sid", F.lit(9)), "blocks").cast("int"))
     nodes = nodes.select("cid", "sid", "copies", "blocks", "blk", F.col("rep._d").alias("_d2"), F.col("rep._h").alias("_h2"))
-    texts = rows.join(nodes, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2"))).dropDuplicates(["sid"])
+    # Both grow with the corpus, so the texts are shuffled at every size.
+    texts = rows.join(nodes.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2"))).dropDuplicates(["sid"])
     links = materialize(_verified(_spread(texts, n), threshold), "verified")
     roots = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "sid", "root": "class"})
     counts = links.groupBy("sid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
@@ -268,7 +269,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Rows equal in id and text are one class: the first row number of equal ones stays.
     full = docs.withColumn("_h", F.xxhash64(text))
     worded = full.where(text.rlike(r"[^\x20\x09-\x0D]"))
-    some = worded.join(keep, worded[id_col].eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left_semi").dropDuplicates([id_col, "_h"])
+    some = worded.join(keep.hint("merge"), worded[id_col].eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left_semi").dropDuplicates([id_col, "_h"])
     return some.unionByName(full.where(~text.rlike(r"[^\x20\x09-\x0D]"))).drop("_h")
 
 

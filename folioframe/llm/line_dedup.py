@@ -122,7 +122,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = repeated_lines(keyed(docs, id_col, text_col)).withColumnsRenamed({"_d": "_d2", "_h": "_h2"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     both = docs.withColumn("_h", F.xxhash64(text))
-    both = both.join(gone, F.col(id_col).eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").drop("_h", "_h2", "_d2")
+    both = both.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").drop("_h", "_h2", "_d2")
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     n_lines = F.when(text == "", 0).otherwise(F.size(F.split(text, "\n")))
 

@@ -66,7 +66,7 @@ def _slices(docs: DataFrame, reps: DataFrame, unit) -> DataFrame:
     kind = docs.schema["_d"].dataType.simpleString()
     lists = reps.groupBy("_d", "_h").agg(F.collect_list(F.struct("sym", "rk", "lr", "off")).alias("runs"))
     both = docs.select("_d", "_h", F.col("_t").cast("binary").alias("_t"))
-    both = both.join(lists.withColumnsRenamed({"_d": "_d2", "_h": "_h2"}), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")))
+    both = both.join(lists.withColumnsRenamed({"_d": "_d2", "_h": "_h2"}).hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")))
 
     def emit(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -193,9 +193,9 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All rows of ``docs`` with their spans (null: none)."""
+    """All rows of ``docs`` with their spans (null: none); both grow with the corpus, so it is a shuffle at every size."""
     other = spans.withColumnsRenamed({"_d": "_d2", "_h": "_h2"})
-    return docs.join(other, docs["_d"].eqNullSafe(other["_d2"]) & (docs["_h"] == other["_h2"]), "left").drop("_d2", "_h2")
+    return docs.join(other.hint("merge"), docs["_d"].eqNullSafe(other["_d2"]) & (docs["_h"] == other["_h2"]), "left").drop("_d2", "_h2")
 
 
 def covered(length: int, spans: np.ndarray, size: int) -> np.ndarray:

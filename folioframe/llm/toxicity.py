@@ -253,7 +253,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.where(mod != 0)
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", _text("text"))
-    return rows.join(own, "doc_id").select("_t", "toxic", (mod - 1).alias("fold"), F.xxhash64("doc_id", "_t").alias("order"))
+    # Labels grow with the corpus, so this is a shuffle at every size.
+    return rows.join(own.hint("merge"), "doc_id").select("_t", "toxic", (mod - 1).alias("fold"), F.xxhash64("doc_id", "_t").alias("order"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
