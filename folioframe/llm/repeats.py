@@ -175,7 +175,7 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
     single = materialize(_blocks(reps.join(todo, ["sym", "rk"]), unit, 1), "single").withColumn("own", order)
     sure = single.join(counted(single, ["sym", "key"], "hull").drop("n"), ["sym", "key"]).where(whole(F.col("own"))).select("sym", "rk", "lo", "hi")
     verdict = told.where("not open").select("sym", "rk", "lo", "hi").unionByName(sure)
-    verdict = verdict.groupBy("sym", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    verdict = materialize(verdict.groupBy("sym", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "verdicts")
 
     # Of the runs with one hull, those that repeat as a whole are gone; the rest take their hull's verdict.
     members = mixed.join(by_hull.select("sym", "rk", "copies", "least"), ["sym", "rk"])
