@@ -264,13 +264,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = keyed(docs, id_col, text_col)
     got = materialize(jaccard_classes(rows), "classes")
     keep = got.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("_d").isNull().alias("z"), "_d", "_h")).alias("k"))
-    keep = keep.select(F.col("k._d").alias("_d2"), F.col("k._h").alias("_h2")).distinct()
+    keep = keep.select(F.struct("k._d", F.coalesce("k._h", F.lit(0)).alias("_h")).alias("kept")).distinct()  # the type of the key, nullability included
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Rows equal in id and text are one class: the first row number of equal ones stays.
-    full = docs.withColumn("_h", F.xxhash64(text))
-    worded = full.where(text.rlike(r"[^\x20\x09-\x0D]"))
-    some = worded.join(keep.hint("merge"), worded[id_col].eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left_semi").dropDuplicates([id_col, "_h"])
-    return some.unionByName(full.where(~text.rlike(r"[^\x20\x09-\x0D]"))).drop("_h")
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    full = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("_d"), F.xxhash64(text).alias("_h")).alias("key"), text.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    # Rows equal in id and text are one class: one of them stays. The join is on the same key (structs with equal
+    # nulls are equal), so texts are shuffled once.
+    some = full.where("worded").groupBy("key").agg(F.first("row").alias("row"))
+    some = some.join(keep.hint("merge"), some["key"] == keep["kept"], "left_semi")
+    return some.select("row.*").unionByName(full.where("not worded").select("row.*"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
