@@ -173,22 +173,18 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
     told = materialize(told.where((F.col("h0") != F.col("h1")) | whole(F.col("own"))).select("sym", "rk", "lo", "hi", (F.col("h0") != F.col("h1")).alias("open")), "told")
     todo = told.where("open").groupBy("sym", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("todo"))
     single = materialize(_blocks(reps.join(todo, ["sym", "rk"]), unit, 1), "single").withColumn("own", order)
-    sure = single.join(counted(single, ["sym", "key"], "hull").drop("n"), ["sym", "key"]).where(whole(F.col("own"))).select("sym", "rk", "lo", "hi")
+    sure = single.join(materialize(counted(single, ["sym", "key"], "hull").drop("n"), "windows"), ["sym", "key"]).where(whole(F.col("own"))).select("sym", "rk", "lo", "hi")
     verdict = told.where("not open").select("sym", "rk", "lo", "hi").unionByName(sure)
     verdict = materialize(verdict.groupBy("sym", "rk").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), "verdicts")
 
-    # Of the runs with one hull, those that repeat as a whole are gone; the rest take their hull's verdict.
-    members = mixed.join(by_hull.select("sym", "rk", "copies", "least"), ["sym", "rk"])
+    # Of the runs with one hull, those that repeat as a whole are gone; the rest take their hull's verdict. All that is
+    # known of a hull is stored as one side, so that one join follows, of which Spark can split a hot hull's rows.
+    hulls = by_hull.select("sym", "rk", "copies", "least").join(verdict, ["sym", "rk"], "left")
+    members = mixed.join(materialize(hulls, "hull-verdicts"), ["sym", "rk"])
     again = F.col("own") > F.col("least") if across else F.col("copies") > 1
-    full = members.where(again).select("_d", "_h", "lr")
     anchor = F.shiftright("lr", 32) + F.col("off")
-    partial = (
-        members.where(~again)
-        .join(verdict, ["sym", "rk"])
-        .select("_d", "_h", anchor.alias("a"), F.explode("parts").alias("p"))
-        .select("_d", "_h", (F.shiftleft(F.col("a") - F.col("p.hi"), 32) + (F.col("a") - F.col("p.lo"))).alias("lr"))
-    )
-    found = plain.unionByName(full).unionByName(partial)
+    cut = F.transform("parts", lambda p: F.shiftleft(anchor - p["hi"], 32) + (anchor - p["lo"]))
+    found = plain.unionByName(members.select("_d", "_h", F.explode(F.when(again, F.array("lr")).otherwise(cut)).alias("lr")))
     return found.groupBy("_d", "_h").agg(F.collect_set("lr").alias("spans"))
 
 
