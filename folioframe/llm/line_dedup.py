@@ -1,8 +1,7 @@
 """Operator 9, line dedup: delete from later documents the blocks that align with earlier ones.
 
-Every line that several documents hold names its earliest holder. A document is paired with that
-holder if they share a rare line (``RARE`` holders at most) or shared lines of ``MIN_SHARED`` characters
-together, so a document has no more partners than lines and no group is paired within itself. Each pair
+Every line that several documents hold names its earliest holder, and all other holders are paired with
+that one, so a document has no more partners than lines and no group is paired within itself. Each pair
 is aligned by patience diff; aligned blocks of ``MIN_BLOCK`` characters or more go from the later one.
 Earlier means a smaller id, then a smaller text hash; null ids come last.
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed, materialize, table
 
-MIN_LINE, RARE, MIN_SHARED, MIN_BLOCK = 20, 32, 200, 20
+MIN_LINE, MIN_BLOCK = 20, 20
 
 
 def _anchors(a: list, b: list) -> list[tuple[int, int]]:
@@ -93,11 +92,10 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     own = rows.where("_t <> ''").select("_d", "_h", F.transform(lines, lambda x: F.xxhash64(x)).alias("hash"), F.transform(lines, F.length).alias("size")).dropDuplicates(["_d", "_h"])
     own = materialize(own, "lines")
     key = F.struct(F.col("_d").isNull().alias("z"), "_d", "_h")
-    each = own.select(key.alias("k"), F.explode(F.array_distinct(F.arrays_zip("hash", "size"))).alias("x")).select("k", F.col("x.hash").alias("hash"), F.col("x.size").alias("size")).where(F.col("size") >= MIN_LINE)
-    held = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1")
+    each = own.select(key.alias("k"), F.explode(F.array_distinct(F.arrays_zip("hash", "size"))).alias("x")).where(F.col("x.size") >= MIN_LINE).select("k", F.col("x.hash").alias("hash"))
+    held = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").drop("n")
     held = materialize(held, "holders")  # as a stored side, so that Spark can split a hot line's rows
-    pairs = each.join(held, "hash").where(F.col("k") != F.col("first")).groupBy("k", "first").agg(F.min("n").alias("n"), F.sum("size").alias("shared"))
-    pairs = pairs.where((F.col("n") <= RARE) | (F.col("shared") >= MIN_SHARED)).select("k", "first")
+    pairs = each.join(held, "hash").where(F.col("k") != F.col("first")).select("k", "first").distinct()
     side = lambda p: own.select(key.alias(p), F.col("hash").alias(f"{p}_hash"), F.col("size").alias(f"{p}_size"))
     # Structs are compared with their null ids as equal, so these are plain equi-joins.
     both = pairs.join(side("k"), "k").join(side("first").drop("first_size"), "first")

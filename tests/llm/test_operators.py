@@ -83,6 +83,31 @@ def test_line_dedup(spark):
         assert all(x[i] == y[j] for i, j in p) and all(u[0] < v[0] and u[1] < v[1] for u, v in zip(p, p[1:], strict=False))
 
 
+def plain_line_dedup(texts):
+    """Texts by place, each aligned with the earliest holder of each of its lines."""
+    rows, first = [t.split("\n") for t in texts], {}
+    for i, x in enumerate(rows):
+        for y in x:
+            first.setdefault(y, i)
+    out = []
+    for i, x in enumerate(rows):
+        gone = set()
+        for j in {first[y] for y in x if len(y) >= 20} - {i}:
+            gone |= set(line_dedup.blocks(x, rows[j], [len(y) for y in x], 20))
+        out.append("\n".join(y for k, y in enumerate(x) if k not in gone))
+    return out
+
+
+def test_line_dedup_common_line(spark):
+    """A line of 20 to 199 characters in more than 32 documents goes from all but the first."""
+    common = "all rights reserved by the publisher of this text"
+    texts = [f"opening number {i} of a text of its own\n{common}\nclosing number {i}, again its own" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    assert [got[i] for i in range(40)] == plain_line_dedup(texts)
+    assert [i for i in range(40) if common in got[i]] == [0]
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
