@@ -1,13 +1,14 @@
 """Operator 9, line dedup: delete from later documents the blocks that align with earlier ones.
 
-Every line that several documents hold names its earliest holder, and all other holders are paired with
-that one, so a document has no more partners than lines and no group is paired within itself. Each pair
-is aligned by patience diff; aligned blocks of ``MIN_BLOCK`` characters or more go from the later one.
-Earlier means a smaller id, then a smaller text hash; null ids come last.
-
-Lines are cut at line breaks and compared whole, by 64-bit hashes; lines under ``MIN_LINE`` characters
-pair nobody but go with a block. Rows equal in id and text are one document and stay alike. Null texts
-have no lines, so they and texts without repeated lines stay as they are.
+A document is paired with all earlier holders of each of its lines that has ``RARE`` holders at most. Of a
+more common line, it is paired with the earliest of the holders that have it once or more often and as many
+common lines; one that has no other common line aligns with every later document that has the line once. So no
+group is paired within itself. Lines under ``MIN_LINE`` characters count as windows of them. Each pair
+is aligned by patience diff; aligned blocks of ``MIN_BLOCK`` characters or more go from the later one. Exact
+copies go whole, whatever their length. Earlier means a smaller id, then a smaller text hash; null ids come last.
+
+Lines are cut at line breaks and compared whole, by 64-bit hashes. Rows equal in id and text are one document
+and stay alike. Null texts have no lines, so they and texts without repeated lines stay as they are.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, table
+from .common import U64, keyed, materialize, table
+from .recompression import RangeNames
 
-MIN_LINE, MIN_BLOCK = 20, 20
+MIN_LINE, RARE, MIN_BLOCK = 20, 32, 20
 
 
 def _anchors(a: list, b: list) -> list[tuple[int, int]]:
@@ -84,19 +87,62 @@ def blocks(a: list, b: list, sizes: list[int], least: int) -> list[int]:
     return out
 
 
+def windows(hashes: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, name, whether it is there once) of what names partners, for documents of lines [at[i], at[i + 1]).
+
+    These are lines of ``MIN_LINE`` characters, and in runs of shorter lines the least windows of ``MIN_BLOCK``:
+    a block that may go has one of them, whatever its lines.
+    """
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    long = sizes >= MIN_LINE
+    total = np.append(0, np.cumsum(sizes))
+    start = np.flatnonzero(~long & (sizes > 0))
+    end = np.searchsorted(total, total[start] + MIN_BLOCK)
+    stops = np.union1d(np.flatnonzero(long), at[1:])
+    whole = end <= stops[np.searchsorted(stops, start, "right")]
+    start, end = start[whole], end[whole]
+    doc = np.concatenate([doc[long], doc[start]])
+    name = np.concatenate([hashes[long], RangeNames(hashes)(start, end)])
+    order = np.lexsort((name, doc))
+    doc, name = doc[order], name[order]
+    new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (name[1:] != name[:-1]))[: len(doc)])
+    return doc[new], name[new], np.diff(np.append(new, len(doc))) == 1
+
+
 def repeated_lines(rows: DataFrame) -> DataFrame:
     """For rows of ``keyed``: _d, _h and gone (numbers of the lines to delete), where there are any."""
     import pyarrow as pa
 
     lines = F.split("_t", "\n")
-    own = rows.where("_t <> ''").select("_d", "_h", F.transform(lines, lambda x: F.xxhash64(x)).alias("hash"), F.transform(lines, F.length).alias("size")).dropDuplicates(["_d", "_h"])
-    own = materialize(own, "lines")
     key = F.struct(F.col("_d").isNull().alias("z"), "_d", "_h")
-    each = own.select(key.alias("k"), F.explode(F.array_distinct(F.arrays_zip("hash", "size"))).alias("x")).where(F.col("x.size") >= MIN_LINE).select("k", F.col("x.hash").alias("hash"))
-    held = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").drop("n")
+    texts = rows.where("_t <> ''").select(key.alias("k"), "_h", F.hash("_t").alias("_g"), "_t")
+    own = texts.select("k", "_h", "_g", F.transform(lines, lambda x: F.xxhash64(x)).alias("hash"), F.transform(lines, F.length).alias("size"))
+    own = own.groupBy("_h", "_g").agg(F.min("k").alias("k"), F.first("hash").alias("hash"), F.first("size").alias("size"))
+    own = materialize(own, "lines")
+    # Copies go whole; as they hold what their first does, only that one is aligned with others.
+    copies = texts.drop("_t").join(own.select("_h", "_g", F.col("k").alias("first"), F.size("size").alias("n")), ["_h", "_g"]).where(F.col("k") != F.col("first"))
+    copies = copies.select(F.col("k._d").alias("_d"), F.col("k._h").alias("_h"), F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
+
+    def name(batches: Iterator) -> Iterator:
+        for batch in batches:
+            hashes, sizes = batch.column("hash"), batch.column("size")
+            at = hashes.offsets.to_numpy().astype(np.int64)
+            found = windows(hashes.flatten().to_numpy().view(U64), sizes.flatten().to_numpy().astype(np.int64), at - at[0])
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(found[0])), pa.array(found[1].view(np.int64)), pa.array(found[2])], names=["k", "hash", "once"])
+
+    each = own.select("k", "hash", "size").mapInArrow(name, f"k {own.schema['k'].dataType.simpleString()}, hash long, once boolean")
+    held = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     held = materialize(held, "holders")  # as a stored side, so that Spark can split a hot line's rows
-    pairs = each.join(held, "hash").where(F.col("k") != F.col("first")).select("k", "first").distinct()
-    side = lambda p: own.select(key.alias(p), F.col("hash").alias(f"{p}_hash"), F.col("size").alias(f"{p}_size"))
+    shared = materialize(each.join(held, "hash"), "shared-lines")
+    few = shared.where(F.col("n") <= RARE).groupBy("hash").agg(F.sort_array(F.collect_list("k")).alias("all"))
+    few = few.select(F.explode(F.transform("all", lambda k, i: F.struct(k.alias("k"), F.slice("all", F.lit(1), i).alias("before")))).alias("x")).select("x.k", F.explode("x.before").alias("first"))
+    hot = shared.where(F.col("n") > RARE)
+    crowd = hot.groupBy("k").agg(F.collect_list(F.struct("hash", "once")).alias("all")).select("k", F.size("all").alias("c"), F.explode("all").alias("x"))
+    marks = crowd.groupBy("x.hash", "x.once", "c").agg(F.min("k").alias("first")).groupBy("hash").agg(F.array_distinct(F.collect_list("first")).alias("firsts"))
+    marks = materialize(marks, "marks")  # stored for the same reason
+    many = hot.select("k", "hash").join(marks, "hash").select("k", F.explode("firsts").alias("first")).where(F.col("first") < F.col("k"))
+    pairs = few.union(many).distinct()
+    side = lambda p: own.select(F.col("k").alias(p), F.col("hash").alias(f"{p}_hash"), F.col("size").alias(f"{p}_size"))
     # Structs are compared with their null ids as equal, so these are plain equi-joins.
     both = pairs.join(side("k"), "k").join(side("first").drop("first_size"), "first")
     kind = rows.schema["_d"].dataType.simpleString()
@@ -108,7 +154,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(gone, pa.list_(pa.int32()))], names=["_d", "_h", "gone"])
 
     found = both.select(F.col("k._d").alias("_d"), F.col("k._h").alias("_h"), "k_hash", "first_hash", "k_size").mapInArrow(emit, f"_d {kind}, _h long, gone array<int>")
-    return found.where(F.size("gone") > 0).select("_d", "_h", F.explode("gone").alias("line")).groupBy("_d", "_h").agg(F.collect_set("line").alias("gone"))
+    return found.where(F.size("gone") > 0).union(copies).select("_d", "_h", F.explode("gone").alias("line")).groupBy("_d", "_h").agg(F.collect_set("line").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,6 +108,34 @@ def test_line_dedup_common_line(spark):
     assert [i for i in range(40) if common in got[i]] == [0]
 
 
+def test_line_dedup_partners(spark):
+    """Every earlier holder of a rare line counts, and so do copies and blocks of short lines only."""
+    line = lambda k: f"line number {k} with enough characters to count"
+    verse = [f"verse {k}" for k in range(5)]
+    rows = [[line(2), line(1)], [line(3), line(1), line(2)], [line(1), line(2), "x"], ["a", *verse], ["b", *verse, "c"], ["short"], ["short"], ["tiny", "list"], ["tiny", "list"]]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    assert [got[i] for i in (2, 4, 5, 6, 7, 8)] == ["x", "b\nc", "short", "", "tiny\nlist", ""]
+    rng = random.Random(6)
+    rows = [[rng.choice([line, str])(rng.randrange(300, 312)) for _ in range(rng.randint(1, 9))] for _ in range(30)]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    for i, x in enumerate(rows):
+        gone = set(range(len(x))) if x in rows[:i] else set()
+        for y in rows[:i]:
+            gone |= set(line_dedup.blocks(x, y, [len(z) for z in x], 20))
+        assert got[i] == "\n".join(z for k, z in enumerate(x) if k not in gone)
+
+
+def test_line_dedup_common_lines_in_other_order(spark):
+    """Two common lines that cross those of their first holder still align with an earlier one."""
+    a, b = "all rights reserved by the publisher", "subscribe to our weekly letter here"
+    texts = [f"own {i}\n" + "\n".join(x) for i, x in enumerate([(a, b), (b,), (a,), *[(b, a)] * 40])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    assert [got[i] for i in range(43)] == [texts[0], *[f"own {i}" for i in range(1, 43)]]
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
