@@ -2,14 +2,22 @@
 
 Texts become sets of ``n``-word shingles (64-bit names). Documents with equal sets are one *set* from
 then on, with a number of copies. Bands and rows are chosen for the wanted recall at the threshold.
-Sets that share a band hash are linked to the least of them, and the groups that these links connect
-are compared exactly: a group is cut into blocks of bounded size, and each pair of blocks is one unit
-of work, which returns a number of links for each set and a spanning forest, never the pairs. Blocks
-also compare sets of a group that share no band, so no link inside a group is lost to banding.
+Candidates are the sets that share a band hash (a bucket). No group is formed before verification:
+
+1. every member of a bucket is compared with the bucket's least set; links that hold at the threshold
+   connect *groups*, so a group is part of a class of linked sets;
+2. all pairs inside a group are compared, which also finds links that banding misses;
+3. buckets that hold sets of several groups are compared too, but only pairs of different groups, each
+   in the first band that it shares, so that no link is lost or counted twice.
+
+Work is cut into blocks of bounded size, and each pair of blocks is one unit, which returns a number
+of links for each set and a spanning forest, never the pairs. Only sets of buckets are shuffled.
 
 Words are maximal runs outside white space, unchanged. Texts under ``n`` words have one shingle of all
 their words; texts without words (null, empty) have no links. Copies, repeated rows included, are
-similar to each other. An id of null is kept and never names a class that has another id.
+similar to each other. An id of null is kept and never names a class that has another id. Ids may have
+any type; other columns are not read, so their names cannot clash. One text's set is held at a time by
+the worker that reads it; it may be as long as a text. No table, an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +34,24 @@ from .components import components
 from .recompression import RangeNames, word_names, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
+#: Hash functions a text may take: the more, the more rows a band can have, and the fewer unlike pairs it lets through.
+HASHES = 144
 #: Bounds of a block: sets, and shingles of all its sets (but one set is never cut).
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 
 
-def choose_bands(threshold: float, recall: float, rows: int = 4) -> tuple[int, int]:
-    """Bands and rows so that a pair at the threshold shares a band with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))), rows
+def choose_bands(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
+    """Bands and rows: as many rows as ``hashes`` allow while a pair at the threshold shares a band with probability ``recall``."""
+    best = None
+    for rows in range(1, hashes + 1):
+        hit = threshold**rows
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-hit)) if hit < 1 else 1
+        if bands * rows > hashes:
+            break
+        best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{hashes} hash functions cannot reach a recall of {recall} at {threshold}")
+    return best
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -59,14 +78,23 @@ def _salts(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=U64), np.full(k, 5, U64), 31) | U64(1)
 
 
-def signature(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """MinHash values: least of the upper halves of salted products."""
-    low = np.full(len(salts), np.iinfo(np.uint64).max, U64)
-    for at in range(0, len(shingles), 4096):
-        x = shingles[at : at + 4096] ^ (shingles[at : at + 4096] >> U64(31))
-        for i, s in enumerate(salts):
-            low[i] = min(low[i], (x * s).min())
-    return low
+def signatures(sets: list[np.ndarray], salts: np.ndarray) -> np.ndarray:
+    """MinHash values of sets that are not empty: least salted products of their shingles, sets by salts."""
+    out = np.empty((len(sets), len(salts)), U64)
+    offsets = np.cumsum([0] + [len(s) for s in sets])
+    for a, b in chunks(offsets, 1 << 15):
+        x = np.concatenate(sets[a:b])
+        x ^= x >> U64(31)
+        starts = offsets[a:b] - offsets[a]
+        for k, s in enumerate(salts):
+            out[a:b, k] = np.minimum.reduceat(x * s, starts)
+    return out
+
+
+def set_name(s: np.ndarray) -> bytes:
+    """128-bit name of a set of shingles."""
+    x = mix(s, s >> U64(7), 41)
+    return np.array([x.sum(dtype=U64), np.bitwise_xor.reduce(mix(x, s, 42)) + U64(len(s))], ">u8").tobytes()
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -74,28 +102,25 @@ def _text(df: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame, n: int, bands: int, per: int) -> DataFrame:
-    """_d, _h, sid (128-bit name of the shingle set, null if empty), size, bands (array of hashes)."""
+    """_d, _h, sid (name of the shingle set, null if empty), size, bands (array of hashes that differ by band)."""
     import pyarrow as pa
 
     def emit(batches: Iterator) -> Iterator:
         salts = _salts(bands * per)
+        place = np.arange(bands, dtype=U64)
         for batch in batches:
             sets = shingle_sets(*binary_parts(batch.column("_t")), n)
-            sid, hashes = [], []
-            for s in sets:
-                if not len(s):
-                    sid.append(None)
-                    hashes.append([])
-                    continue
-                x = mix(s, s >> U64(7), 41)
-                sid.append(np.array([x.sum(dtype=U64), np.bitwise_xor.reduce(mix(x, s, 42)) + U64(len(s))], ">u8").tobytes())
-                low = signature(s, salts).reshape(bands, per)
-                name = low[:, 0]
-                for k in range(1, per):
-                    name = mix(name, low[:, k], 43)
-                hashes.append(name.view(np.int64))
+            full = [s for s in sets if len(s)]
+            low = signatures(full, salts).reshape(len(full), bands, per)
+            name = mix(low[:, :, 0], np.broadcast_to(place, low.shape[:2]), 44)
+            for k in range(1, per):
+                name = mix(name, low[:, :, k], 43)
+            some = np.array([len(s) > 0 for s in sets], bool)
+            offsets = np.append(0, np.cumsum(some)).astype(np.int32) * bands
+            hashes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(name.ravel().view(np.int64)))
+            sid = [set_name(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_d"), batch.column("_h"), pa.array(sid, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                [batch.column("_d"), batch.column("_h"), pa.array(sid, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), hashes],
                 names=["_d", "_h", "sid", "size", "bands"],
             )
 
@@ -103,34 +128,87 @@ def _signed(rows: DataFrame, n: int, bands: int, per: int) -> DataFrame:
     return _text(rows).mapInArrow(emit, f"_d {kind}, _h long, sid binary, size long, bands array<long>")
 
 
-def _spread(texts: DataFrame, n: int) -> DataFrame:
-    """One row for each set and pair of blocks that needs it: cid, i, j, blk, sid, copies, shingles (binary)."""
+def _shingled(texts: DataFrame, n: int) -> DataFrame:
+    """sid and shingles (binary) of rows with sid and _t."""
     import pyarrow as pa
 
     def emit(batches: Iterator) -> Iterator:
-        names = ["cid", "i", "j", "blk", "sid", "copies", "shingles"]
         for batch in batches:
-            sets = shingle_sets(*binary_parts(batch.column("_t")), n)
-            blocks, total = np.asarray(batch.column("blocks")).tolist(), np.asarray(batch.column("blk")).tolist()
-            rows, i, j, held = [], [], [], 0
-            for k, s in enumerate(sets):
-                for other in range(blocks[k]):
-                    rows.append(k)
-                    i.append(min(total[k], other))
-                    j.append(max(total[k], other))
-                    held += len(s)
-                    if held > BLOCK_SHINGLES:
-                        yield part(pa, batch, sets, rows, i, j, names)
-                        rows, i, j, held = [], [], [], 0
-            if rows:
-                yield part(pa, batch, sets, rows, i, j, names)
-
-    def part(pa, batch, sets, rows, i, j, names):
-        at = pa.array(rows)
-        own = [batch.column(k).take(at) for k in ("blk", "sid", "copies")]
-        return pa.RecordBatch.from_arrays([batch.column("cid").take(at), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *own, pa.array([sets[k].tobytes() for k in rows], pa.binary())], names=names)
-
-    return _text(texts).select("cid", "blk", "blocks", "sid", "copies", "_t").mapInArrow(emit, "cid binary, i int, j int, blk int, sid binary, copies long, shingles binary")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = shingle_sets(*binary_parts(part.column("_t")), n)
+                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "shingles"])
+
+    return _text(texts.select("sid", "_t")).mapInArrow(emit, "sid binary, shingles binary")
+
+
+def similar(shared, a, b, threshold: float):
+    """Whether sets of ``a`` and ``b`` shingles that share so many reach the threshold."""
+    return shared >= threshold * (a + b - shared) - 1e-6
+
+
+def _blocked(members: DataFrame, unit: str) -> DataFrame:
+    """Add blocks (of the member's unit) and blk (the member's own)."""
+    bound = members.groupBy(unit).agg(F.count("*").alias("m"), F.sum("size").alias("all"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    # Stored, as the side of a join that lets Spark split a hot unit's rows.
+    bound = materialize(bound.select(unit, blocks.alias("blocks")), "blocks")
+    return members.join(bound, unit).withColumn("blk", F.pmod(F.xxhash64("sid", F.lit(9)), "blocks").cast("int"))
+
+
+def _grouped(batches: Iterator, keys: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """Columns of the rows of each key, from batches that are sorted by it."""
+    held: dict[str, list] | None = None
+    for batch in batches:
+        columns = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+        key = list(zip(*(columns[k] for k in keys), strict=True))
+        first = 0
+        for i in range(1, len(key) + 1):
+            if i < len(key) and key[i] == key[first]:
+                continue
+            part = {k: v[first:i] for k, v in columns.items()}
+            if held is not None and tuple(held[k][0] for k in keys) == key[first]:
+                for k, v in part.items():
+                    held[k] += v
+            else:
+                if held is not None:
+                    yield held
+                held = part
+            first = i
+    if held is not None:
+        yield held
+
+
+def _starred(links: DataFrame, sets: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """The links (sid, hub) that hold at the threshold. A hub goes to every block of its members."""
+    import pyarrow as pa
+
+    members = _blocked(links.join(sets.select("sid", "size"), "sid"), "hub")
+    centre = members.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk")).distinct()
+    both = members.select("hub", "blk", "sid").unionByName(centre.select("hub", "blk", F.col("hub").alias("sid")))
+    placed = both.join(shingles, "sid").repartition("hub", "blk").sortWithinPartitions("hub", "blk")
+
+    def emit(batches: Iterator) -> Iterator:
+        for unit in _grouped(batches, ("hub", "blk")):
+            hub, out = unit["hub"][0], []
+            centre = np.frombuffer(unit["shingles"][unit["sid"].index(hub)], U64)
+            for sid, raw in zip(unit["sid"], unit["shingles"], strict=True):
+                own = np.frombuffer(raw, U64)
+                if sid == hub or min(len(own), len(centre)) < threshold * max(len(own), len(centre)) - 1e-6:
+                    continue
+                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                if similar(int((centre[at] == own).sum()), len(own), len(centre), threshold):
+                    out.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([hub] * len(out), pa.binary())], names=["sid", "hub"])
+
+    return placed.mapInArrow(emit, "sid binary, hub binary")
+
+
+def _spread(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Rows of ``_blocked`` members for each pair of blocks (i, j) that needs them, with their shingles."""
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("blk", x).alias("i"), F.greatest("blk", x).alias("j"))))
+    spread = members.withColumn("ij", pair).select("*", "ij.i", "ij.j").drop("ij", "blocks", "size")
+    return spread.join(shingles, "sid").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -162,61 +240,62 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(spread: DataFrame, threshold: float) -> DataFrame:
-    """sid, root (least linked set in this unit of work), docs and texts (numbers of links found here)."""
+def _linked(spread: DataFrame, threshold: float, across: bool) -> DataFrame:
+    """sid, root (least linked set in this unit), docs and texts (numbers of links found here).
+
+    across=False: all pairs of the unit. across=True: pairs of different groups whose first common band is the unit's.
+    """
     import pyarrow as pa
 
-    def work(rows: list[tuple], out: dict) -> None:
-        (_, i, j), sides = rows[0][:3], [r[3] for r in rows]
-        sets = [np.frombuffer(r[6], U64) for r in rows]
-        if len(sets) < 2:
+    def work(unit: dict[str, list], out: dict) -> None:
+        sids = unit["sid"]
+        if len(sids) < 2:
+            return
+        apart = np.ones((len(sids), len(sids)), bool)
+        if unit["i"][0] != unit["j"][0]:  # pairs inside a block belong to the block's own unit
+            side = np.array(unit["blk"])
+            apart = side[:, None] != side[None, :]
+        if across:
+            _, group = np.unique(np.array(unit["root"], dtype=object).astype("S16"), return_inverse=True)
+            apart &= group[:, None] != group[None, :]
+            own = np.array(unit["bands"], np.int64)
+            for k in range(unit["band"][0]):
+                apart &= own[:, k][:, None] != own[:, k][None, :]
+        np.fill_diagonal(apart, False)
+        some = apart.any(1)
+        if not some.any():
             return
-        shared, size = overlaps(sets), np.array([len(s) for s in sets])
-        link = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
-        np.fill_diagonal(link, False)
-        if i != j:  # pairs inside a block belong to the block's own unit
-            side = np.array(sides)
-            link &= side[:, None] != side[None, :]
+        at = np.flatnonzero(some)
+        apart = apart[np.ix_(at, at)]
+        sets = [np.frombuffer(unit["shingles"][k], U64) for k in at]
+        size = np.array([len(s) for s in sets])
+        link = apart & similar(overlaps(sets), size[:, None], size[None, :], threshold)
         if not link.any():
             return
-        copies = np.array([r[5] for r in rows])
-        order = np.argsort(np.array([r[4] for r in rows], dtype=object), kind="stable")
-        label = np.empty(len(rows), np.int64)
-        label[order] = np.arange(len(rows))
+        sids, copies = [sids[k] for k in at], np.array([unit["copies"][k] for k in at])
+        order = sorted(range(len(sids)), key=sids.__getitem__)
+        label = np.empty(len(sids), np.int64)
+        label[order] = np.arange(len(sids))
         while True:  # least label among linked sets, until none changes
-            low = np.minimum(label, np.where(link, label[None, :], len(rows)).min(1))
+            low = np.minimum(label, np.where(link, label[None, :], len(sids)).min(1))
             if (low == label).all():
                 break
             label = low
         docs, texts = link @ copies, link.sum(1)
         for k in np.flatnonzero(texts).tolist():
-            out["sid"].append(rows[k][4])
-            out["root"].append(rows[order[label[k]]][4])
+            out["sid"].append(sids[k])
+            out["root"].append(sids[order[label[k]]])
             out["docs"].append(int(docs[k]))
             out["texts"].append(int(texts[k]))
 
     def emit(batches: Iterator) -> Iterator:
-        key, rows = None, []
-        for batch in batches:
+        for unit in _grouped(batches, ("unit", "i", "j")):
             out: dict = {"sid": [], "root": [], "docs": [], "texts": []}
-            columns = [batch.column(k).to_pylist() for k in ("cid", "i", "j", "blk", "sid", "copies", "shingles")]
-            for r in zip(*columns, strict=True):
-                if r[:3] != key:
-                    if rows:
-                        work(rows, out)
-                    key, rows = r[:3], []
-                rows.append(r)
-            yield pack(out)
-        out = {"sid": [], "root": [], "docs": [], "texts": []}
-        if rows:
-            work(rows, out)
-        yield pack(out)
-
-    def pack(out: dict):
-        return pa.RecordBatch.from_arrays([pa.array(out["sid"], pa.binary()), pa.array(out["root"], pa.binary()), pa.array(out["docs"], pa.int64()), pa.array(out["texts"], pa.int64())], names=["sid", "root", "docs", "texts"])
-
-    placed = spread.repartition("cid", "i", "j").sortWithinPartitions("cid", "i", "j")
-    return placed.mapInArrow(emit, "sid binary, root binary, docs long, texts long")
+            work(unit, out)
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return spread.mapInArrow(emit, "sid binary, root binary, docs long, texts long")
 
 
 def jaccard_classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -232,19 +311,32 @@ def jaccard_classes(rows: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     )
     sets = materialize(sets, "sets")
     band = sets.select("sid", F.posexplode("bands").alias("band", "hash"))
-    hubs = band.groupBy("band", "hash").agg(F.min("sid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = band.groupBy("hash").agg(F.min("sid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hubs = materialize(hubs, "hubs")  # as a stored side, so that Spark can split a hot bucket's rows
-    groups = materialize(components(band.join(hubs, ["band", "hash"]).where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))), "groups")
+    placed = materialize(band.join(hubs, "hash"), "buckets")
 
-    nodes = groups.join(sets.drop("bands"), groups["node"] == sets["sid"]).select(F.col("root").alias("cid"), "sid", "copies", "rep", "size")
-    bound = nodes.groupBy("cid").agg(F.count("*").alias("m"), F.sum("size").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    nodes = nodes.join(bound.select("cid", blocks.alias("blocks")), "cid").withColumn("blk", F.pmod(F.xxhash64("sid", F.lit(9)), "blocks").cast("int"))
-    nodes = nodes.select("cid", "sid", "copies", "blocks", "blk", F.col("rep._d").alias("_d2"), F.col("rep._h").alias("_h2"))
+    known = placed.select("sid").distinct().join(sets.select("sid", "rep"), "sid").select("sid", F.col("rep._d").alias("_d2"), F.col("rep._h").alias("_h2"))
     # Both grow with the corpus, so the texts are shuffled at every size.
-    texts = rows.join(nodes.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2"))).dropDuplicates(["sid"])
-    links = materialize(_verified(_spread(texts, n), threshold), "verified")
-    roots = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "sid", "root": "class"})
+    texts = rows.join(known.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2"))).dropDuplicates(["sid"])
+    shingles = materialize(_shingled(texts, n), "shingles")
+    star = materialize(_starred(placed.where("sid <> hub").select("sid", "hub").distinct(), sets, shingles, threshold), "star")
+    groups = materialize(components(star.select(F.col("sid").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"node": "sid"}), "groups")
+
+    facts = sets.select("sid", "copies", "size")
+    inside = _blocked(groups.join(facts, "sid").withColumnRenamed("root", "unit"), "unit")
+    links = materialize(_linked(_spread(inside, shingles), threshold, across=False), "inside")
+
+    # Buckets of several groups; of those with the same members, the one of the first band.
+    told = materialize(placed.join(groups, "sid", "left").select("sid", "band", "hash", F.coalesce("root", "sid").alias("root")), "placed")
+    mixed = told.groupBy("hash", "band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    mixed = mixed.where("r0 <> r1").groupBy("n", "s").agg(F.min(F.struct("band", "hash")).alias("x")).select(F.col("x.hash").alias("unit"))
+    between = told.withColumnRenamed("hash", "unit").join(materialize(mixed, "mixed"), "unit").join(sets.select("sid", "copies", "size", "bands"), "sid")
+    more = materialize(_linked(_spread(_blocked(materialize(between, "between"), "unit"), shingles), threshold, across=True), "across")
+    links = links.unionByName(more)
+    roots = groups.withColumnRenamed("root", "class")
+    if not more.isEmpty():
+        edges = star.select(F.col("sid").alias("a"), F.col("hub").alias("b")).unionByName(more.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+        roots = components(edges).withColumnsRenamed({"node": "sid", "root": "class"})
     counts = links.groupBy("sid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     told = sets.select("sid", "copies").join(counts, "sid", "left").join(roots, "sid", "left")
     told = told.select("sid", "copies", F.coalesce("class", "sid").alias("class"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
