@@ -23,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is made and set.
+    Only where the session names none and driver and executors are one process (tests, one machine), a
+    temporary folder is made and set; a cluster must name a folder that all its machines share.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folioframe-shared-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -43,11 +47,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     same rows do not compute them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folioframe/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/folioframe/{spark.sparkContext.applicationId}"
+
+
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete all that ``materialize`` wrote for this application; call it when the results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_row`` (all columns as one, so that no name of theirs can clash), ``_d`` and ``_h`` as in ``keyed``."""
+    return docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_d`` (id), ``_h`` (hash of the text) and ``_t`` (text, null as empty) of each row.
 

@@ -348,6 +348,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     """Per row: ``id_col``, class_id (least id of its class), n_links and n_text_links."""
     got = materialize(jaccard_classes(keyed(docs, id_col, text_col), n, threshold, recall), "classes")
     least = got.where("class is not null").groupBy("class").agg(F.min("_d").alias("class_id"))
+    least = materialize(least, "class-ids")  # as a stored side, so that Spark can split a large class's rows
     return got.join(least, "class", "left").select(F.col("_d").alias(id_col), F.when(F.col("class").isNull(), F.col("_d")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_text_links")
 
 

@@ -8,7 +8,9 @@ is aligned by patience diff; aligned blocks of ``MIN_BLOCK`` characters or more
 copies go whole, whatever their length. Earlier means a smaller id, then a smaller text hash; null ids come last.
 
 Lines are cut at line breaks and compared whole, by 64-bit hashes. Rows equal in id and text are one document
-and stay alike. Null texts have no lines, so they and texts without repeated lines stay as they are.
+and stay alike. Null texts have no lines, so they and texts without repeated lines stay as they are. Ids may
+have any type that Spark orders, null too. A very long text is aligned as a list of hashes, with each partner
+in turn; one pair is held at a time. No table, an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, materialize, table
+from .common import U64, keyed, materialize, packed, table
 from .recompression import RangeNames
 
 MIN_LINE, RARE, MIN_BLOCK = 20, 32, 20
@@ -157,16 +159,24 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     return found.where(F.size("gone") > 0).union(copies).select("_d", "_h", F.explode("gone").alias("line")).groupBy("_d", "_h").agg(F.collect_set("line").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``; repeated blocks are gone from ``text_col``."""
-    return _cut(docs, id_col, text_col).drop("_n_lines", "_n_gone")
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """All rows and columns of ``docs``, whatever their names; repeated blocks are gone from ``text_col``.
+
+    drop_emptied: rows that had a text of which nothing is left are gone too.
+    """
+    cut = _cut(docs, id_col, text_col)
+    if drop_emptied:
+        had = F.coalesce(F.col("_row").getField(text_col), F.lit("")) != ""
+        cut = cut.where(~had | (F.coalesce("_text", F.lit("")) != ""))
+    return cut.select(*((F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row (all columns of a row), _d, _text (what is left), _n_lines and _n_gone."""
     gone = repeated_lines(keyed(docs, id_col, text_col)).withColumnsRenamed({"_d": "_d2", "_h": "_h2"})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    both = docs.withColumn("_h", F.xxhash64(text))
-    both = both.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left").drop("_h", "_h2", "_d2")
+    both = packed(docs, id_col, text_col).join(gone.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")), "left")
+    whole = F.col("_row").getField(text_col)
+    text = F.coalesce(whole, F.lit(""))
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     n_lines = F.when(text == "", 0).otherwise(F.size(F.split(text, "\n")))
 
@@ -175,10 +185,11 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
     short = F.transform(F.array(F.split(text, "\n")), kept)[0]
-    return both.withColumns({text_col: F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(short), "_n_lines": n_lines.cast("long"), "_n_gone": n_gone.cast("long")}).drop("gone")
+    left = F.when(F.col("gone").isNull(), whole).otherwise(short)
+    return both.select("_row", "_d", left.alias("_text"), n_lines.cast("long").alias("_n_lines"), n_gone.cast("long").alias("_n_gone"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: numbers of lines and the digest of the kept text of every document."""
     out = _cut(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_gone").alias("n_gone"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select(F.col("_d").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_gone").alias("n_gone"), F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

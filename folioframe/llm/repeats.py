@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .common import U64, binary_parts, materialize, mix
 
@@ -140,10 +141,14 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
 
     ``docs`` comes from ``keyed``. across=False: a window counts if its content also starts anywhere
     else. across=True: if it also starts in a text with a smaller ``_d``; null ids come last, and texts
-    under one id do not match each other.
+    under one id do not match each other. Ids may have any type that Spark orders.
     """
-    last = F.lit(2**63 - 1)
-    order = F.coalesce(F.col("_d").cast("long"), last) if across else F.lit(0)
+    if not across:
+        order = F.lit(0)
+    elif isinstance(docs.schema["_d"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        order = F.coalesce(F.col("_d").cast("long"), F.lit(2**63 - 1))
+    else:
+        order = F.struct(F.col("_d").isNull().alias("z"), F.col("_d").alias("d"))
     rows = materialize(_rows(docs, unit), "runs")
 
     def counted(df: DataFrame, keys: list[str], hull: str) -> DataFrame:

@@ -3,12 +3,14 @@
 The field tags each word begin (B), inside (I) or outside (O) of a secret. Its features are the word's
 shape, length, alphabet and key words, the classes of neighbouring words, and how much the file looks
 like code. It is trained here, on the driver, from about ``TRAIN_DOCS`` documents (those of the lowest
-hashes, tagged by the patterns) and from generated lines with secrets of many formats; this bound is the only
-sample. Decoding is exact Viterbi: a word whose outside score exceeds the others by more than any two
+hashes among those of up to ``TRAIN_CHARS`` characters, tagged by the patterns) and from generated lines with
+secrets of many formats; these bounds make the only sample, and training costs the same whatever the corpus. Decoding is exact Viterbi: a word whose outside score exceeds the others by more than any two
 transitions can give back is outside on every best path, so paths are searched between such words only.
 
-Whole texts are scanned; offsets are code points. Null is an empty text; rows without a match have
-empty lists. Repeated rows get equal results.
+Whole texts are scanned, however long; offsets are code points. A span of the field that lies inside a span
+of a pattern is left out, any other is added, also where it goes beyond one. Null is an empty text; rows without
+a match have empty lists. Repeated rows get equal results. Only id (of any type, null too) and text are read, so
+other columns cannot clash. No table, an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, binary_parts, chunks, lowest_share, table
 
 KINDS = ("assign", "access", "hex", "crf")
-TRAIN_DOCS = 60
+TRAIN_DOCS, TRAIN_CHARS = 60, 20_000
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as matching runs and dropping short ones
@@ -403,16 +405,17 @@ def scan(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[list[tup
             found = tagger.spans(raw, b - lo, e - lo, plain[at[i] : at[i + 1]])
             if found:
                 points = [(len(raw[:x].decode()), len(raw[:y].decode()), "crf") for x, y in found]
-                fixed = sorted(fixed + [p for p in points if not any(x < p[1] and p[0] < y for x, y, _ in fixed)], key=lambda x: (x[0], KINDS.index(x[2])))
+                fixed = sorted(fixed + [p for p in points if not any(x <= p[0] and p[1] <= y for x, y, _ in fixed)], key=lambda x: (x[0], KINDS.index(x[2])))
             out.append(fixed)
     return out
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Field from generated lines and about ``train_docs`` texts: those whose hash is in the lowest share."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Field from generated lines and about ``train_docs`` texts of up to ``train_chars`` characters: those whose
+    hash is in the lowest share."""
+    rows = docs.where(F.length(text_col) <= train_chars).select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
     share = min(1.0, train_docs / max(1, rows.count()))
-    few = rows.where(lowest_share(F.col("h"), share)).limit(4 * train_docs)
+    few = rows.where(lowest_share(F.col("h"), share)).orderBy("h", "t").limit(4 * train_docs)
     texts = sorted(r["t"] for r in few.collect())
     samples = []
     for t in texts:

@@ -3,10 +3,13 @@
 Recompression names word runs and pairs alike in all documents (``recompression``); windows that share
 their highest interior symbol are compared as runs, blocks and single windows (``repeats``), which
 verifies the repeat and finds its exact ends. A window goes if it also starts in a document with a
-smaller id. The result is exact but for collisions of 128-bit names.
+smaller id. The result is exact but for collisions of names: windows of one run are told apart by two
+64-bit names, blocks and single windows by one 64-bit name within an equal 64-bit symbol.
 
 Nulls have no words; texts under ``size`` words stay whole. Rows with one id do not match each other,
-so rows that repeat as a whole, id included, both stay. Null ids come after all others.
+so rows that repeat as a whole, id included, both stay. Null ids come after all others; text ids are
+ordered as texts. Very long texts are cut into overlapping tiles, so memory does not grow with them but
+for one text itself. Only id and text are read, so other columns cannot clash. No table, an empty result.
 """
 
 from __future__ import annotations

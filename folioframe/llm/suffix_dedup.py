@@ -3,9 +3,11 @@
 Distributed prefix doubling: names of strings are paired at growing offsets (8 to 100 bytes within a
 worker, then the window length), and Spark ranks the pairs again until a rank is unique or the string
 is past the threshold; see ``suffix_names`` and ``repeats``. Only positions that represent a run of
-windows are shuffled. The result is exact but for collisions of 128-bit names.
+windows are shuffled. The result is exact but for collisions of names: windows of one run are told apart
+by two 64-bit names, blocks and single windows by one 64-bit name within an equal 64-bit anchor name.
 
-Nulls are empty texts; texts shorter than ``size`` bytes keep all. Rows that repeat as a whole are
+Very long texts are cut into overlapping tiles. Only id (of any type, null too) and text are read, so
+other columns cannot clash. Nulls are empty texts; texts shorter than ``size`` bytes keep all. Rows that repeat as a whole are
 strings that start elsewhere too, so all their long strings go. No table, an empty result.
 """
 

@@ -9,7 +9,8 @@ link, fitted on out-of-fold evidence of labelled rows, turns the evidence into a
 
 Counting covers all labelled training rows. Only the link is fitted on a sample:
 about ``calibration_rows`` rows, those of the lowest hashes. Null and empty texts have no tokens and get the
-score of no evidence. Ids with several labels count as toxic if one label says so; without any toxic
+score of no evidence; a very long text is one row of numbers in the worker. Only text, id and the label are
+read, so other columns cannot clash; ids may repeat, null ids are scored but not learned from. Ids with several labels count as toxic if one label says so; without any toxic
 or any clean label, every score is the share of toxic labels (0 without labels).
 """
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, chunks, lowest_share, table
+from .common import binary_parts, chunks, lowest_share, materialize, table
 from .recompression import word_names, words
 
 BITS = 18
@@ -175,18 +176,21 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model
                 score = weights[f + 1][bucket[first[i] : first[i + 1]]]
                 chance = math.log(max(1, len(score)))
                 out.append([float(lam[f + 1]) * s - chance for _, _, s in maximal_segments(score)] or [-chance])
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.float64())), pa.array(np.diff(first))], names=["toxic", "nats", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("order"), pa.array(out, pa.list_(pa.float64())), pa.array(np.diff(first))], names=["toxic", "order", "nats", "n"])
 
     share = min(1.0, calibration_rows / sum(rows.values()))
-    sample = labelled.where(lowest_share(F.col("order"), share))
-    got = sample.select("_t", "toxic", "fold").mapInArrow(judge, "toxic int, nats array<double>, n long").limit(2 * calibration_rows).toPandas()
-    toxic, n = got["toxic"].to_numpy(float), got["n"].to_numpy()
-    nats = [np.asarray(x, float) for x in got["nats"]]
-    best = np.array([x.max() for x in nats])
+    sample = labelled.where(lowest_share(F.col("order"), share)).select("_t", "toxic", "fold", "order")
+    judged = sample.mapInArrow(judge, "toxic int, order long, nats array<double>, n long")
+    # Rows of one hash are equal, so the lowest hashes are the same rows each time.
+    judged = materialize(judged.orderBy("order").limit(2 * calibration_rows).withColumn("best", F.array_max("nats")), "judged")
     # The Gumbel law's location: on clean rows lam * S - ln n has mean ln K + Euler's constant.
-    clean = toxic == 0
-    log_k = float(np.mean(best[clean])) - 0.5772 if clean.any() else 0.0
-    x = np.array([_features(b.max() - log_k, math.log1p(sum(e for e in b - log_k if e >= SIGNIFICANT)), int(k)) for b, k in zip(nats, n, strict=True)])
+    mean = judged.where("toxic = 0").agg(F.avg("best")).first()[0]
+    log_k = 0.0 if mean is None else mean - 0.5772
+    sure = F.filter(F.transform("nats", lambda e: e - F.lit(log_k)), lambda e: e >= SIGNIFICANT)
+    every = F.log1p(F.aggregate(sure, F.lit(0.0), lambda s, e: s + e))
+    got = judged.select("toxic", "n", "best", every.alias("every")).toPandas()  # four numbers a row
+    toxic = got["toxic"].to_numpy(float)
+    x = np.array([_features(b - log_k, e, int(k)) for b, e, k in zip(got["best"], got["every"], got["n"], strict=True)])
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
