@@ -25,8 +25,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the shorter text.
     """
-    had = docs.withColumn("_had", F.coalesce(F.col("text"), F.lit("")) != "")
-    out = line_dedup.line_dedup(had).where((F.coalesce(F.col("text"), F.lit("")) != "") | ~F.col("_had"))
+    out = line_dedup.line_dedup(docs, drop_emptied=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)
