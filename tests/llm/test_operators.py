@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from folioframe.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from folioframe.llm import jaccard_join, line_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 WORDS = [f"w{i}é" for i in range(40)]
 
@@ -136,35 +136,6 @@ def test_line_dedup_common_lines_in_other_order(spark):
     assert [got[i] for i in range(43)] == [texts[0], *[f"own {i}" for i in range(1, 43)]]
 
 
-def test_decontamination(spark):
-    rng = random.Random(5)
-    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
-    items = [(i, prose(20 + i)) for i in range(12)] + [(50, None), (51, "too short")]
-    near = items[3][1].split()
-    near[0] = "changed"
-    rows = [(1, prose(30) + " " + items[2][1].upper() + ". " + prose(9)), (2, prose(200)), (3, None), (4, ""), (5, prose(5) + " " + " ".join(near)), (6, items[11][1]), (7, "too short")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, leaked string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: [x["item"] for x in r["leaks"]] for r in decontamination.find_leaks(docs, bench).collect()}
-    assert got == {1: [2], 2: [], 3: [], 4: [], 5: [3], 6: [11], 7: []}
-    assert decontamination.drop_leaks(docs, bench).columns == docs.columns
-    assert decontamination.drop_leaks(docs, bench.limit(0)).count() == 7
-
-
-def test_index_guarantee():
-    import numpy as np
-
-    rng = random.Random(2)
-    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(20)).encode() + b"\n") for i in range(40)]
-    index = decontamination.Index(items)
-    prints = index.prints.copy()
-    for i in range(len(prints)):
-        for bit in rng.sample(range(64), rng.randint(0, decontamination.RADIUS)):
-            prints[i] ^= np.uint64(1 << bit)
-    row, item = index.candidates(prints)
-    assert {(i, i) for i in range(40)} <= set(zip(row.tolist(), item.tolist(), strict=True))
-
-
 def base_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
