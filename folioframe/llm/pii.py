@@ -1,26 +1,38 @@
 """Operator 8, PII: replace detected entities by keyed surrogates of the same type and format.
 
-Entities are e-mail and IP addresses, telephone, card, account and social security numbers, and names
-of persons after a title (later mentions of the same words included). Numbers and addresses pass
-through a keyed Feistel permutation of the strings with the same format: digits stay digits of their
-range, letters keep case, separators stay, card numbers keep a valid check digit where they had one and
-the domain of an address is replaced alike in all addresses. Names are built from syllables of their
-script, with endings for the gender the title tells, and keep their case.
-
-One entity has one surrogate everywhere (coreference). Spark checks all different entities for
-collisions: of entities that got one surrogate, or that got themselves, all but the least try again
-with the next number, until none is left. Only these exceptions are kept; they are broadcast if they are
-at most ``MAX_BROADCAST``, else joined to the texts that need them.
-
-Null texts stay null, texts without entities stay as they are, rows that repeat get equal texts.
+Entities are e-mail and IP addresses (both versions), telephone, card, account and social security numbers,
+IBANs, and names of persons: after a title, or a common given name before a capitalised word; later mentions
+of the same words included. Telephone numbers are those with a country code, those of the shapes (ddd) ddd-dddd
+and ddd-ddd-dddd, and those that begin with 0 and have 9 to 13 digits in groups. Names without either sign,
+and in scripts but Latin and Cyrillic, are not found.
+
+Numbers and addresses pass through a keyed permutation of the strings with the same format: digits stay
+digits of their range, letters keep case, separators stay, check digits stay valid (or invalid) and the domain
+of an address is replaced alike in all addresses. The permutation is one cycle (a Feistel permutation carries
+the step from each number to the next), so it has no fixed point, and strings of a part of the format, such as
+numbers with a wrong check digit, can be reached by stepping on. So these surrogates cannot collide.
+Names are built from syllables of their script, with endings for the gender that the title or the given name
+tells, and keep their case. E-mail addresses are the same entity in either case.
+
+One entity has one surrogate everywhere (coreference). Spark checks all different names for collisions: of
+names that got one surrogate, or that got themselves, all but the least try again with more syllables, twice
+as many more each round, until none is left; the last rounds draw from more strings than there can be names.
+Only these exceptions are kept; they are broadcast if they are at most ``MAX_BROADCAST``, else joined to the
+texts that need them; both ways give the same texts.
+
+Null texts stay null, empty texts and texts without entities stay as they are, rows that repeat get equal
+texts. A very long text is searched as a whole by the one worker that holds it. Only id (of any type, null
+too) and text are read, so other columns cannot clash. No table, an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +41,8 @@ from .common import materialize, table
 
 KEY = b"replace this key"
 MAX_BROADCAST = 50_000
-TYPES = ("email", "ip", "ssn", "card", "account", "phone", "given_f", "given_m", "given_u", "surname")
+NAMES = ("given_f", "given_m", "given_u", "surname")
+TYPES = ("email", "iban", "ip", "ipv6", "ssn", "card", "account", "phone", *NAMES)
 
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -37,13 +50,23 @@ _NUMBER = re.compile(
     rf"(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d-])[3-6]\d{3}([ -]?)\d{4}\4\d{4}\4\d{1,7}(?![\d-]))"
-    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
+    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
+    r"|(?P<local>(?<![\d.,+(/-])0\d{1,4}[ /]\d{2,4}(?:[ -]?\d{2,4}){1,4}(?![\d-]))",
     re.A,
 )
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Z0-9])", re.A)
+_IPV6 = re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Fa-f:.])")
 _FEMALE = "Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Madame|Sra|Srta|Señora|Doña|г-жа|госпожа"
 _MALE = "Mr|Sir|Herr|Monsieur|Sr|Señor|Don|г-н|господин"
 _CAPITAL = r"(?:[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]+|[А-ЯЁ][А-Яа-яёЁ-]+)"
 _NAME = re.compile(rf"(?<!\w)(?:(?P<f>{_FEMALE})|(?P<m>{_MALE})|(?P<u>Dr|Prof))\.?[ \xa0]({_CAPITAL})(?:[ \xa0]({_CAPITAL}))?(?:[ \xa0]({_CAPITAL}))?")
+_PAIR = re.compile(rf"(?<!\w)({_CAPITAL})(?=[ \xa0]({_CAPITAL}))")
+#: Common given names that are no words of their languages.
+_GIVEN = {
+    "f": "Anna Maria Elena Laura Julia Sarah Emily Jessica Jennifer Elizabeth Susan Linda Barbara Margaret Michelle Emma Olivia Sophia Isabella Charlotte Marie Camille Léa Chloé Manon Sophie Isabelle Nathalie Katharina Sabine Ursula Claudia Petra Monika Carmen Lucía Carmela Ana Cristina Olga Natalia Tatiana Irina Анна Мария Елена Ольга Наталья Татьяна Ирина Екатерина",
+    "m": "John James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Andrew Peter Paul George Edward Pierre Jean Jacques Philippe Nicolas François Michel Hans Klaus Jürgen Wolfgang Stefan Andreas Dieter José Carlos Luis Miguel Antonio Javier Francisco Ivan Dmitri Sergei Иван Дмитрий Сергей Александр Алексей Николай Андрей Михаил",
+}
+_GENDER = {name.casefold(): gender for gender, names in _GIVEN.items() for name in names.split()}
 _TITLES = tuple(f"{t}" for t in (_FEMALE + "|" + _MALE + "|Dr|Prof").split("|"))
 
 
@@ -56,35 +79,76 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _iban_check(country: str, rest: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """IBANs with right check digits; groups behind that are no part of them are left."""
+    for m in _IBAN.finditer(text):
+        end = m.end()
+        while end > m.start():
+            compact = text[m.start() : end].replace(" ", "")
+            if 15 <= len(compact) <= 34 and int(compact[2:4]) == _iban_check(compact[:2], compact[4:]):
+                yield m.start(), end, "iban", compact
+                break
+            end = text.rfind(" ", m.start(), end)
+
+
+def find_names(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, canonical form) of names of persons, which may overlap."""
+    found, words = [], {}
+    if any(t in text for t in _TITLES):
+        for m in _NAME.finditer(text):
+            gender = "f" if m["f"] else "m" if m["m"] else "u"
+            parts = [g for g in (4, 5, 6) if m[g]]
+            for g in parts:
+                kind = "surname" if g == parts[-1] else f"given_{gender}"
+                found.append((m.start(g), m.end(g), kind, m[g].casefold()))
+                words.setdefault(m[g], kind)
+    for m in _PAIR.finditer(text):
+        if gender := _GENDER.get(m[1].casefold()):
+            found.append((m.start(1), m.end(1), f"given_{gender}", m[1].casefold()))
+            words.setdefault(m[1], f"given_{gender}")
+            if m[2].casefold() not in _GENDER:
+                found.append((m.start(2), m.end(2), "surname", m[2].casefold()))
+                words.setdefault(m[2], "surname")
+    if words:
+        every = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)")
+        found += [(m.start(), m.end(), words[m[0]], m[0].casefold()) for m in every.finditer(text)]
+    return found
+
+
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of entities, ordered and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0]) for m in _EMAIL.finditer(text)]
+        found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
             kind = m.lastgroup
-            if kind == "card":
-                digits = re.sub(r"\D", "", m[0])
-                kind = "card" if luhn(digits[:-1]) == int(digits[-1]) else "account"
             canon = m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
-            if kind == "phone" and m[0][0] == "+":  # the country code stays; without a separator, its first digit
+            if kind == "card":
+                kind = "card" if luhn(canon[:-1]) == int(canon[-1]) else "account"
+            elif kind == "phone" and m[0][0] == "+":  # the country code stays; without a separator, its first digit
                 code = re.match(r"\+(\d{1,3})[ .(-]", m[0])
                 n = len(code[1]) if code else 1
                 canon = f"+{canon[:n]}|{canon[n:]}"
+            elif kind == "local":
+                if not 9 <= len(canon) <= 13:
+                    continue
+                kind, canon = "phone", f"0|{canon[1:]}"
             found.append((m.start(), m.end(), kind, canon))
-    if any(t in text for t in _TITLES):
-        words: dict[str, str] = {}
-        for m in _NAME.finditer(text):
-            gender = "f" if m["f"] else "m" if m["m"] else "u"
-            parts = [g for g in (4, 5, 6) if m[g]]
-            for g in parts:
-                kind = "surname" if g == parts[-1] else f"given_{gender}"
-                found.append((m.start(g), m.end(g), kind, m[g].casefold()))
-                words.setdefault(m[g], kind)
-        if words:
-            every = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)")
-            found += [(m.start(), m.end(), words[m[0]], m[0].casefold()) for m in every.finditer(text)]
+        found += _ibans(text)
+    if "::" in text or text.count(":") >= 7:
+        for m in _IPV6.finditer(text):
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:
+                continue
+            if len(m[0].replace(":", "")) >= 4:
+                found.append((m.start(), m.end(), "ipv6", m[0].lower()))
+    found += find_names(text)
     found.sort(key=lambda x: (x[0], -x[1], TYPES.index(x[2])))
     out: list[tuple[int, int, str, str]] = []
     for e in found:
@@ -101,12 +165,14 @@ def _draw(key: bytes, *parts) -> int:
 
 
 def permute(value: list[int], radix: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed bijection of mixed-radix numbers: eight Feistel rounds over the two halves."""
+    """The next of ``value`` in a keyed cycle of all mixed-radix numbers: no number is its own next one.
+
+    Eight Feistel rounds over the two halves, one step on, and the rounds back.
+    """
     half = (len(value) + 1) // 2
     sizes, parts = [], []
     for at in (slice(0, half), slice(half, None)):
-        size = n = 1
-        n = 0
+        size, n = 1, 0
         for v, r in zip(value[at], radix[at], strict=True):
             n, size = n * r + v, size * r
         sizes.append(size)
@@ -114,6 +180,11 @@ def permute(value: list[int], radix: list[int], key: bytes, tweak: str) -> list[
     for k in range(8):
         i = k % 2
         parts[i] = (parts[i] + _draw(key, tweak, k, parts[1 - i])) % sizes[i]
+    carry, parts[1] = divmod(parts[1] + 1, sizes[1])
+    parts[0] = (parts[0] + carry) % sizes[0]
+    for k in reversed(range(8)):
+        i = k % 2
+        parts[i] = (parts[i] - _draw(key, tweak, k, parts[1 - i])) % sizes[i]
     out: list[int] = []
     for n, at in zip(parts, (slice(0, half), slice(half, None)), strict=True):
         digits = []
@@ -124,27 +195,22 @@ def permute(value: list[int], radix: list[int], key: bytes, tweak: str) -> list[
     return out
 
 
-def _like(text: str, key: bytes, tweak: str, low_digits: bool = False) -> str:
+#: Classes of characters that stay classes: (first code point, number).
+def _class(c: str) -> tuple[int, int]:
+    return (ord("0"), 10) if "0" <= c <= "9" else (ord("a"), 26) if "a" <= c <= "z" else (ord("A"), 26) if "A" <= c <= "Z" else (ord(c), 0)
+
+
+def _phone_class(c: str) -> tuple[int, int]:
+    return (ord("0"), 2) if c in "01" else (ord("2"), 8)
+
+
+def _like(text: str, key: bytes, tweak: str, of: Callable[[str], tuple[int, int]] = _class) -> str:
     """Permute digits and letters of ``text`` among strings of the same format."""
-    value, radix, base = [], [], []
-    for c in text:
-        if low_digits and c in "01":
-            base.append((ord("0"), 2))
-        elif low_digits and c.isdigit():
-            base.append((ord("2"), 8))
-        elif "0" <= c <= "9":
-            base.append((ord("0"), 10))
-        elif "a" <= c <= "z":
-            base.append((ord("a"), 26))
-        elif "A" <= c <= "Z":
-            base.append((ord("A"), 26))
-        else:
-            base.append((ord(c), 0))
-    for c, (b, r) in zip(text, base, strict=True):
-        if r:
-            value.append(ord(c) - b)
-            radix.append(r)
-    got = iter(permute(value, radix, key, tweak + "|" + "".join(f"{b}/{r}," for b, r in base)))
+    base = [of(c) for c in text]
+    value = [ord(c) - b for c, (b, r) in zip(text, base, strict=True) if r]
+    if not value:
+        return text
+    got = iter(permute(value, [r for _, r in base if r], key, tweak + "|" + "".join(f"{b}/{r}," for b, r in base)))
     return "".join(chr(b + next(got)) if r else c for c, (b, r) in zip(text, base, strict=True))
 
 
@@ -159,27 +225,40 @@ _ENDINGS = {
 
 
 def surrogate(kind: str, canon: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """Surrogate of an entity in canonical form; other attempts give other surrogates."""
-    tweak = f"{kind}#{attempt}"
+    """Surrogate of an entity in canonical form; other attempts give other names."""
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         head, _, top = domain.rpartition(".")
-        return f"{_like(local, key, tweak + domain)}@{_like(head, key, tweak)}.{top}"
+        return f"{_like(local, key, kind + domain)}@{_like(head, key, kind)}.{top}"
     if kind == "ip":
         parts = canon.split(".")
         base = [(0, 10) if len(p) == 1 else (10, 90) if len(p) == 2 else (100, 156) for p in parts]
-        got = permute([int(p) - b for p, (b, _) in zip(parts, base, strict=True)], [r for _, r in base], key, tweak + str(base))
+        got = permute([int(p) - b for p, (b, _) in zip(parts, base, strict=True)], [r for _, r in base], key, kind + str(base))
         return ".".join(str(v + b) for v, (b, _) in zip(got, base, strict=True))
+    if kind == "ipv6":
+        at = [i for i, c in enumerate(canon) if c != ":"]
+        out = list(canon)
+        for i, v in zip(at, permute([int(canon[i], 16) for i in at], [16] * len(at), key, kind + re.sub(r"\w", "h", canon)), strict=True):
+            out[i] = f"{v:x}"
+        return "".join(out)
+    if kind == "iban":
+        rest = _like(canon[4:], key, kind + canon[:2])
+        return f"{canon[:2]}{_iban_check(canon[:2], rest):02d}{rest}"
     if kind == "card":
-        body = canon[0] + _like(canon[1:-1], key, tweak)
+        body = canon[0] + _like(canon[1:-1], key, kind)
         return body + str(luhn(body))
+    if kind == "account":  # cards have a right check digit, these have none
+        while True:
+            canon = canon[0] + _like(canon[1:], key, kind)
+            if luhn(canon[:-1]) != int(canon[-1]):
+                return canon
     if kind == "phone":
         code, _, rest = canon.rpartition("|")
-        return code + _like(rest, key, tweak + code, low_digits=True)
-    if kind in ("ssn", "account"):
-        return canon[:1] + _like(canon[1:], key, tweak) if kind == "account" else _like(canon, key, tweak)
+        return code + _like(rest, key, kind + code, _phone_class)
+    if kind == "ssn":
+        return _like(canon, key, kind)
     script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in canon) else "latin"
-    n, parts = _draw(key, tweak, canon), []
+    n, parts = _draw(key, f"{kind}#{attempt}", canon), []
     syllables, endings = _SYLLABLES[script], _ENDINGS[script][kind]
     for _ in range(2 + attempt // 2 + (kind == "surname")):
         n, at = divmod(n, len(syllables))
@@ -189,8 +268,13 @@ def surrogate(kind: str, canon: str, key: bytes = KEY, attempt: int = 0) -> str:
 
 def _dressed(original: str, kind: str, new: str) -> str:
     """The surrogate with the separators or the case of the original."""
-    if kind in ("email", "ip"):
+    if kind == "ip":
         return new
+    if kind in ("email", "ipv6"):
+        return "".join(c.upper() if o.isupper() else c for o, c in zip(original, new, strict=True))
+    if kind == "iban":
+        got = iter(new)
+        return "".join(c if c == " " else next(got) for c in original)
     if kind in ("ssn", "card", "account", "phone"):
         got = iter(new.lstrip("+"))
         return "".join(next(got) if "0" <= c <= "9" else c for c in original)
@@ -208,37 +292,46 @@ def replace_entities(text: str, key: bytes = KEY, exceptions: dict | None = None
     return "".join(out) + text[last:], kinds
 
 
-def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All different entities: kind, canon."""
+def _names_of(text: str | None) -> list[tuple[str, str]]:
+    """Different names of a text: kind and canonical form."""
+    if not text or not find_names(text):
+        return []
+    return sorted({e[2:] for e in find_entities(text) if e[2] in NAMES})
+
+
+def name_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All different names: kind, canon."""
     import pyarrow as pa
 
     def emit(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = sorted({e[2:] for t in batch.column("_t").to_pylist() for e in find_entities(t)})
+            found = sorted({e for t in batch.column("_t").to_pylist() for e in _names_of(t)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["kind", "canon"])
 
     return docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_t")).mapInArrow(emit, "kind string, canon string").distinct()
 
 
 def resolve(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, canon, new for all entities, with no surrogate used twice within a kind and none equal to its entity."""
+    """kind, canon, new and attempt for all entities (kind, canon), with no surrogate used twice within a kind and none
+    equal to its entity. Attempts double, and names of attempt 16 have 10 syllables or more, so a handful of rounds ends it."""
     make = F.udf(lambda kind, canon, attempt: surrogate(kind, canon, key, attempt), "string", useArrow=True)
     left = materialize(entities, "entities")
-    done, attempt = None, 0
+    done: list[DataFrame] = []
+    attempt = 0
     while True:
-        told = left.withColumn("new", make("kind", "canon", F.lit(attempt)))
-        told = materialize(told, "surrogates")
-        if done is not None:
-            taken = done.select(F.col("kind").alias("k2"), F.col("new").alias("n2"))
-            free = told.join(taken, (F.col("kind") == F.col("k2")) & (F.col("new") == F.col("n2")), "left_anti")
-        else:
-            free = told
+        told = materialize(left.withColumn("new", make("kind", "canon", F.lit(attempt))), "surrogates")
+        free = told
+        for d in done:
+            taken = d.select(F.col("kind").alias("k2"), F.col("new").alias("n2")).hint("merge")
+            free = free.join(taken, (F.col("kind") == F.col("k2")) & (F.col("new") == F.col("n2")), "left_anti")
         won = free.where("new <> canon").groupBy("kind", "new").agg(F.min("canon").alias("canon")).select("kind", "canon", "new", F.lit(attempt).alias("attempt"))
-        done = materialize(won if done is None else done.unionByName(won), "resolved")
-        left = materialize(told.select("kind", "canon").join(done.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
+        done.append(materialize(won, "resolved"))
+        left = materialize(told.select("kind", "canon").join(done[-1].select("kind", "canon").hint("merge"), ["kind", "canon"], "left_anti"), "open")
         if left.isEmpty():
-            return done
-        attempt += 1
+            return reduce(DataFrame.unionByName, done)
+        if attempt >= 64:
+            raise ValueError("entities of one format leave no free surrogate")
+        attempt = max(1, 2 * attempt)
 
 
 def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -246,7 +339,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
     import pyarrow as pa
 
     spark = docs.sparkSession
-    late = resolve(entity_table(docs, text_col), key).where("attempt > 0").select("kind", "canon", "new")
+    late = resolve(name_table(docs, text_col), key).where("attempt > 0").select("kind", "canon", "new")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{text_col}` string, kinds array<string>"
     small = late.limit(max_broadcast + 1).count() <= max_broadcast
@@ -270,12 +363,22 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
 
 
 def _with_exceptions(rows: DataFrame, late: DataFrame) -> DataFrame:
-    """Add to each text the exceptions among its entities, by joins on the entities."""
-    listed = F.udf(lambda t: [(k, c) for k, c in sorted({e[2:] for e in find_entities(t or "")})], "array<struct<kind:string,canon:string>>")
-    own = rows.where("_t is not null").select("_d", F.xxhash64("_t").alias("_h"), F.explode(listed("_t")).alias("e")).select("_d", "_h", "e.kind", "e.canon")
-    lists = own.join(late, ["kind", "canon"]).groupBy("_d", "_h").agg(F.collect_set(F.struct("kind", "canon", "new")).alias("_x"))
+    """Add to each text the exceptions among its names, by joins on the names."""
+    import pyarrow as pa
+
+    def emit(batches: Iterator) -> Iterator:
+        for batch in batches:
+            found = [(i, *e) for i, t in enumerate(batch.column("_t").to_pylist()) for e in _names_of(t)]
+            at = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_d").take(at), batch.column("_h").take(at), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], names=["_d", "_h", "kind", "canon"]
+            )
+
+    kind = rows.schema["_d"].dataType.simpleString()
+    own = rows.where("_t is not null").withColumn("_h", F.xxhash64("_t")).select("_d", "_h", "_t").mapInArrow(emit, f"_d {kind}, _h long, kind string, canon string")
+    lists = own.join(late, ["kind", "canon"]).groupBy("_d", "_h").agg(F.collect_set(F.struct("kind", "canon", "new")).alias("_x"))  # one text's
     lists = lists.withColumnsRenamed({"_d": "_d2", "_h": "_h2"})
-    return rows.join(lists, F.col("_d").eqNullSafe(F.col("_d2")) & (F.xxhash64("_t") == F.col("_h2")), "left").select("_d", "_t", "_x")
+    return rows.join(lists.hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.xxhash64("_t") == F.col("_h2")), "left").select("_d", "_t", "_x")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,5 +386,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = replace_pii(table(spark, sf_dir, "documents"))
     count = lambda name, *kinds: F.size(F.filter("kinds", lambda k: k.isin(*kinds))).cast("long").alias(name)
     return out.select(
-        "doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), count("n_email", "email"), count("n_ip", "ip"), count("n_phone", "phone"), count("n_number", "ssn", "card", "account"), count("n_name", *TYPES[6:])
+        "doc_id", "text", F.size("kinds").cast("long").alias("n_entities"), count("n_email", "email"), count("n_ip", "ip", "ipv6"), count("n_phone", "phone"), count("n_number", "iban", "ssn", "card", "account"), count("n_name", *NAMES)
     )
