@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,40 @@ def write_documents(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
 
     return docs.mapInArrow(emit, "doc_id string, content binary")
+
+
+def page_objects(pages: DataFrame, font: Column | str, more: DataFrame | None = None) -> DataFrame:
+    """Objects (doc_id, number, body) of files from their pages (doc_id, page_index, streams, extra).
+
+    streams are up to 19 content streams of a page, extra goes into its dictionary; font is the body of the
+    font F1, a text or a column of ``pages``. ``more`` adds objects, numbers 4 to 9.
+    """
+    font = F.lit(font) if isinstance(font, str) else font
+    at = lambda j: 10 + 20 * F.col("page_index") + j
+    refs = F.array_join(F.transform("streams", lambda s, j: F.format_string("%d 0 R", at(j + 1))), " ")
+    page = F.concat(F.lit("<< /Type /Page /Parent 2 0 R /Contents ["), refs, F.lit("] /Resources << /Font << /F1 3 0 R >> >> "), F.col("extra"), F.lit(" >>"))
+    bodies = F.transform("streams", lambda s, j: F.struct(at(j + 1).alias("number"), F.concat(F.lit("<< >>\nstream\n"), s, F.lit("\nendstream")).alias("body")))
+    objects = pages.select("doc_id", F.explode(F.concat(F.array(F.struct(at(0).alias("number"), page.alias("body"))), bodies)).alias("o")).select("doc_id", "o.number", "o.body")
+    heads = pages.select("doc_id", "page_index", font.alias("font")).groupBy("doc_id").agg(F.array_sort(F.collect_list("page_index")).alias("pages"), F.max("font").alias("font"))
+    kids = F.array_join(F.transform("pages", lambda i: F.format_string("%d 0 R", 10 + 20 * i)), " ")
+    head = F.array(
+        F.struct(F.lit(1).alias("number"), F.lit("<< /Type /Catalog /Pages 2 0 R >>").alias("body")),
+        F.struct(F.lit(2).alias("number"), F.concat(F.lit("<< /Type /Pages /MediaBox [0 0 612 792] /Kids ["), kids, F.lit("] >>")).alias("body")),
+        F.struct(F.lit(3).alias("number"), F.col("font").alias("body")),
+    )
+    out = objects.unionByName(heads.select("doc_id", F.explode(head).alias("o")).select("doc_id", "o.number", "o.body"))
+    return out if more is None else out.unionByName(more)
+
+
+def write_objects(objects: DataFrame) -> DataFrame:
+    """doc_id and content (a PDF file) from the objects of each file (doc_id, number, body)."""
+    import pyarrow as pa
+
+    docs = objects.groupBy("doc_id").agg(F.collect_list(F.struct("number", "body")).alias("objects"))  # one file's
+
+    def emit(batches: Iterator) -> Iterator:
+        for batch in batches:
+            made = [build_pdf({o["number"]: o["body"].encode("latin-1", "replace") for o in own}) for own in batch.column("objects").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    return docs.mapInArrow(emit, "doc_id string, content binary")
