@@ -1,26 +1,70 @@
-"""Content streams: tokens to operations, and the fold that turns operations into runs of codes."""
+"""Content streams: tokens to operations, and the fold that turns operations into runs of glyphs."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
 
-from ..functions.geometry import IDENTITY, Matrix
+from ..functions.geometry import Matrix
 from .pdf_fonts import Font
 from .pdf_objects import Lexer, Name, Op
 
 _INLINE_END = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)")
+#: The tokens that most streams consist of: whole and decimal numbers, operators, strings without escapes, names, hexadecimal strings.
+_END = rb"(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|$)"
+_PLAIN = re.compile(rb"[\x00\t\n\x0c\r ]*(?:([+-]?\d+)" + _END + rb"|([+-]?\d*\.\d+)" + _END + rb"|((?!(?:true|false|null)" + _END + rb")[A-Za-z'\"][A-Za-z0-9'\"*]*)" + _END + rb"|\(([^()\\]*)\)|/([A-Za-z0-9_+.-]*)" + _END + rb"|<((?:[0-9A-Fa-f]{2})*)>)")
+
+
+def _item(m: re.Match):
+    """The object of a plain token that is no operator."""
+    kind, raw = m.lastindex, m[m.lastindex]
+    if kind == 1:
+        return int(raw)
+    if kind == 2:
+        return float(raw)
+    if kind == 4:
+        return raw
+    if kind == 5:
+        return Name(raw.decode("latin-1"))
+    return bytes.fromhex(raw.decode())
+
+
+def _array(data: bytes, at: int) -> tuple[list, int] | None:
+    """Items and end of the array that starts before ``at``, if it holds plain tokens only."""
+    items = []
+    while m := _PLAIN.match(data, at):
+        if m.lastindex == 3:
+            return None
+        items.append(_item(m))
+        at = m.end()
+    while data[at : at + 1] in (b" ", b"\n", b"\r", b"\t"):
+        at += 1
+    return (items, at + 1) if data[at : at + 1] == b"]" else None
 
 
 def operations(data: bytes) -> list[tuple[str, list]]:
     """(operator, operands); the payload of an inline image is skipped and reported as BI."""
     lex, operands, out = Lexer(data), [], []
+    match = _PLAIN.match
     try:
         while True:
-            item = lex.next(False)
-            if not isinstance(item, Op):
-                operands.append(item)
-                continue
+            m = match(data, lex.at)
+            if m:
+                lex.at = m.end()
+                if m.lastindex != 3:
+                    operands.append(_item(m))
+                    continue
+                item = m[3].decode("latin-1")
+            else:
+                if not lex.skip():
+                    return out
+                if data[lex.at : lex.at + 1] == b"[" and (found := _array(data, lex.at + 1)):
+                    operands.append(found[0])
+                    lex.at = found[1]
+                    continue
+                item = lex.next(False)
+                if not isinstance(item, Op):
+                    operands.append(item)
+                    continue
             if item == "ID":
                 end = _INLINE_END.search(data, lex.at)
                 lex.at = end.end() if end else len(data)
@@ -42,16 +86,39 @@ def is_scanned(ops: list[tuple[str, list]]) -> bool:
     return image
 
 
-@dataclass(frozen=True)
+Six = tuple[float, float, float, float, float, float]
+_ONE: Six = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def _then(m: Six, n: Six) -> Six:
+    """First the map ``m``, then ``n``."""
+    a, b, c, d, e, f = m
+    p, q, r, s, t, u = n
+    return (a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u)
+
+
+def _moved(m: Six, x: float, y: float) -> Six:
+    """The map that first moves by (x, y)."""
+    a, b, c, d, e, f = m
+    return (a, b, c, d, x * a + y * c + e, x * b + y * d + f)
+
+
 class State:
-    ctm: Matrix = IDENTITY
-    font: str | None = None
-    size: float = 1.0
-    char_space: float = 0.0
-    word_space: float = 0.0
-    h_scale: float = 1.0
-    leading: float = 0.0
-    rise: float = 0.0
+    """What q saves; ``shown`` is the map to the displayed page."""
+
+    __slots__ = ("ctm", "shown", "font", "size", "char_space", "word_space", "h_scale", "leading", "rise")
+
+    def __init__(self, page_map: Six):
+        self.ctm, self.shown = _ONE, page_map
+        self.font: str | None = None
+        self.size = self.h_scale = 1.0
+        self.char_space = self.word_space = self.leading = self.rise = 0.0
+
+    def copy(self) -> State:
+        new = State.__new__(State)
+        for k in State.__slots__:
+            setattr(new, k, getattr(self, k))
+        return new
 
 
 def _num(x) -> bool:
@@ -62,95 +129,126 @@ def _first(operands: list, default: float = 0.0) -> float:
     return float(operands[0]) if operands and _num(operands[0]) else default
 
 
-def _matrix(operands: list) -> Matrix | None:
-    return Matrix(*map(float, operands)) if len(operands) == 6 and all(map(_num, operands)) else None
+def _matrix(operands: list) -> Six | None:
+    return tuple(map(float, operands)) if len(operands) == 6 and all(map(_num, operands)) else None
 
 
 class TextMachine:
-    """State of the walk; ``runs`` gets a dict for each shown string."""
+    """State of the walk; ``runs`` gets a tuple for each shown string that has glyphs:
+    texts, widths (em), starts (advance before the glyph), matrix, font, size, horizontal scale, rise."""
 
     def __init__(self, fonts: dict[str, Font], page_map: Matrix):
-        self.fonts, self.page_map = fonts, page_map
-        self.stack = [State()]
-        self.tm = self.tlm = IDENTITY
-        self.runs: list[dict] = []
+        self.fonts = fonts
+        self.page_map: Six = (page_map.a, page_map.b, page_map.c, page_map.d, page_map.e, page_map.f)
+        self.stack = [State(self.page_map)]
+        self.s = self.stack[0]
+        self.tm = self.tlm = _ONE
+        self.runs: list[tuple] = []
+        self.plain = Font()
+        self.steps = {
+            "q": self._save, "Q": self._restore, "cm": self._concat, "BT": self._begin, "Tf": self._font, "Tc": self._char_space, "Tw": self._word_space, "Tz": self._h_scale, "TL": self._leading, "Ts": self._rise,
+            "Tm": self._place, "Td": self._offset, "TD": self._offset_leading, "T*": self._next_line, "Tj": self._one, "'": self._line_one, '"': self._spaced_one, "TJ": self._many,
+        }
+
+    def step(self, op: str, args: list) -> None:
+        found = self.steps.get(op)
+        if found:
+            found(args)
+
+    def _save(self, args: list) -> None:
+        self.s = self.s.copy()
+        self.stack.append(self.s)
+
+    def _restore(self, args: list) -> None:
+        self.stack.pop()
+        if not self.stack:
+            self.stack.append(State(self.page_map))
+        self.s = self.stack[-1]
+
+    def _concat(self, args: list) -> None:
+        m = _matrix(args)
+        if m:
+            self.s.ctm = _then(m, self.s.ctm)
+            self.s.shown = _then(self.s.ctm, self.page_map)
 
-    def _set(self, **changes) -> None:
-        self.stack[-1] = replace(self.stack[-1], **changes)
+    def _begin(self, args: list) -> None:
+        self.tm = self.tlm = _ONE
 
-    def _move(self, x: float, y: float) -> None:
-        self.tlm = self.tlm.pre_translate(x, y)
-        self.tm = self.tlm
+    def _font(self, args: list) -> None:
+        if len(args) > 1 and isinstance(args[0], Name) and _num(args[1]):
+            self.s.font, self.s.size = str(args[0]), float(args[1])
 
-    def _next_line(self) -> None:
-        self._move(0.0, -self.stack[-1].leading)
+    def _char_space(self, args: list) -> None:
+        self.s.char_space = _first(args)
+
+    def _word_space(self, args: list) -> None:
+        self.s.word_space = _first(args)
+
+    def _h_scale(self, args: list) -> None:
+        self.s.h_scale = _first(args, 100.0) / 100
+
+    def _leading(self, args: list) -> None:
+        self.s.leading = _first(args)
+
+    def _rise(self, args: list) -> None:
+        self.s.rise = _first(args)
+
+    def _place(self, args: list) -> None:
+        m = _matrix(args)
+        if m:
+            self.tm = self.tlm = m
+
+    def _offset(self, args: list) -> None:
+        if len(args) > 1 and _num(args[0]) and _num(args[1]):
+            self.tm = self.tlm = _moved(self.tlm, float(args[0]), float(args[1]))
+
+    def _offset_leading(self, args: list) -> None:
+        if len(args) > 1 and _num(args[0]) and _num(args[1]):
+            self.s.leading = -float(args[1])
+            self._offset(args)
+
+    def _next_line(self, args: list) -> None:
+        self.tm = self.tlm = _moved(self.tlm, 0.0, -self.s.leading)
+
+    def _one(self, args: list) -> None:
+        self._show(args[0] if args else None)
+
+    def _line_one(self, args: list) -> None:
+        self._next_line(args)
+        self._show(args[0] if args else None)
+
+    def _spaced_one(self, args: list) -> None:
+        if len(args) == 3:
+            self.s.word_space, self.s.char_space = _first(args), _first(args[1:])
+        self._next_line(args)
+        self._show(args[-1] if args else None)
+
+    def _many(self, args: list) -> None:
+        for item in args[0] if args and isinstance(args[0], list) else ():
+            if _num(item):
+                self.tm = _moved(self.tm, -(float(item) / 1000) * self.s.size * self.s.h_scale, 0.0)
+            else:
+                self._show(item)
 
     def _show(self, shown) -> None:
         if not isinstance(shown, bytes):
             return
-        s = self.stack[-1]
-        font = self.fonts.get(s.font) or Font()
-        codes = font.codes(shown)
-        trm = self.tm.then(s.ctm.then(self.page_map))
-        spaced = [not font.composite and c == 32 for c, _, _ in codes]
-        self.runs.append(
-            {"texts": [t for _, t, _ in codes], "widths": [w for _, _, w in codes], "spaced": spaced, "m": (trm.a, trm.b, trm.c, trm.d, trm.e, trm.f)}
-            | {"font": s.font or "", "size": s.size, "tc": s.char_space, "tw": s.word_space, "th": s.h_scale, "rise": s.rise}
-        )
-        advance = sum((w * s.size + s.char_space + (s.word_space if sp else 0.0)) * s.h_scale for (_, _, w), sp in zip(codes, spaced, strict=True))
-        self.tm = self.tm.pre_translate(advance, 0.0)
-
-    def step(self, op: str, args: list) -> None:
-        if op == "q":
-            self.stack.append(self.stack[-1])
-        elif op == "Q":
-            self.stack.pop()
-            if not self.stack:
-                self.stack.append(State())
-        elif op == "cm":
-            m = _matrix(args)
-            if m:
-                self._set(ctm=m.then(self.stack[-1].ctm))
-        elif op == "BT":
-            self.tm = self.tlm = IDENTITY
-        elif op == "Tf":
-            if len(args) > 1 and isinstance(args[0], Name) and _num(args[1]):
-                self._set(font=str(args[0]), size=float(args[1]))
-        elif op == "Tc":
-            self._set(char_space=_first(args))
-        elif op == "Tw":
-            self._set(word_space=_first(args))
-        elif op == "Tz":
-            self._set(h_scale=_first(args, 100.0) / 100)
-        elif op == "TL":
-            self._set(leading=_first(args))
-        elif op == "Ts":
-            self._set(rise=_first(args))
-        elif op == "Tm":
-            m = _matrix(args)
-            if m:
-                self.tm = self.tlm = m
-        elif op in ("Td", "TD"):
-            if len(args) > 1 and _num(args[0]) and _num(args[1]):
-                if op == "TD":
-                    self._set(leading=-float(args[1]))
-                self._move(float(args[0]), float(args[1]))
-        elif op == "T*":
-            self._next_line()
-        elif op == "Tj":
-            self._show(args[0] if args else None)
-        elif op == "'":
-            self._next_line()
-            self._show(args[0] if args else None)
-        elif op == '"':
-            if len(args) == 3:
-                self._set(word_space=_first(args), char_space=_first(args[1:]))
-            self._next_line()
-            self._show(args[-1] if args else None)
-        elif op == "TJ":
-            for item in args[0] if args and isinstance(args[0], list) else ():
-                if _num(item):
-                    s = self.stack[-1]
-                    self.tm = self.tm.pre_translate(-(float(item) / 1000) * s.size * s.h_scale, 0.0)
-                else:
-                    self._show(item)
+        s = self.s
+        font = self.fonts.get(s.font) or self.plain
+        texts, widths, spaces, seen = font.decoded(shown)
+        size, scale, gap = s.size, s.h_scale, s.char_space
+        word = s.word_space if spaces else 0.0
+        at, starts = 0.0, []
+        if word:
+            for k, w in enumerate(widths):
+                starts.append(at)
+                at += (w * size + gap + (word if k in spaces else 0.0)) * scale
+        else:
+            for w in widths:
+                starts.append(at)
+                at += (w * size + gap) * scale
+        if seen is not None:  # some codes have no text: they move on, but are no glyphs
+            texts, widths, starts = [texts[k] for k in seen], [widths[k] for k in seen], [starts[k] for k in seen]
+        if texts:
+            self.runs.append((texts, widths, starts, _then(self.tm, s.shown), s.font or "", size, scale, s.rise))
+        self.tm = _moved(self.tm, at, 0.0)

@@ -7,20 +7,25 @@ import re
 from .pdf_objects import File, Lexer, Name, Op, Stream
 
 # Glyph names and their text.
-GLYPH_NAMES = dict(
-    pair.rsplit(" ", 1)
-    for pair in (
-        "exclam !|quotedbl \"|numbersign #|dollar $|percent %|ampersand &|quoteright '|parenleft (|parenright )|asterisk *|plus +|comma ,|hyphen -|minus -|period .|slash /|"
-        "zero 0|one 1|two 2|three 3|four 4|five 5|six 6|seven 7|eight 8|nine 9|colon :|semicolon ;|less <|equal =|greater >|question ?|at @|bracketleft [|backslash \\|bracketright ]|"
-        "asciicircum ^|underscore _|quoteleft `|braceleft {|braceright }|asciitilde ~|endash –|emdash —|quoteleft2 ‘|quoteright2 ’|quotedblleft “|quotedblright ”|bullet •|ellipsis …|"
-        "perthousand ‰|guilsinglleft ‹|guilsinglright ›|Euro €|trademark ™|copyright ©|registered ®|paragraph ¶|section §|yen ¥|sterling £|cent ¢|florin ƒ|degree °|plusminus ±|"
-        "multiply ×|divide ÷|dagger †|daggerdbl ‡|Agrave À|Aacute Á|Acircumflex Â|Atilde Ã|Adieresis Ä|Aring Å|AE Æ|Ccedilla Ç|Egrave È|Eacute É|Ecircumflex Ê|Edieresis Ë|"
-        "Igrave Ì|Iacute Í|Icircumflex Î|Idieresis Ï|Eth Ð|Ntilde Ñ|Ograve Ò|Oacute Ó|Ocircumflex Ô|Otilde Õ|Odieresis Ö|Oslash Ø|OE Œ|Ugrave Ù|Uacute Ú|Ucircumflex Û|Udieresis Ü|"
-        "Yacute Ý|Ydieresis Ÿ|Thorn Þ|germandbls ß|agrave à|aacute á|acircumflex â|atilde ã|adieresis ä|aring å|ae æ|ccedilla ç|egrave è|eacute é|ecircumflex ê|edieresis ë|igrave ì|"
-        "iacute í|icircumflex î|idieresis ï|eth ð|ntilde ñ|ograve ò|oacute ó|ocircumflex ô|otilde õ|odieresis ö|oslash ø|oe œ|ugrave ù|uacute ú|ucircumflex û|udieresis ü|yacute ý|"
-        "ydieresis ÿ|thorn þ|fi ﬁ|fl ﬂ|ff ﬀ|ffi ﬃ|ffl ﬄ|exclamdown ¡|questiondown ¿|guillemotleft «|guillemotright »"
-    ).split("|")
-) | {"space": " ", "bar": "|", "nbspace": " "}
+GLYPH_NAMES = {
+    "exclam": "!", "quotedbl": "\"", "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quoteright": "'", "parenleft": "(",
+    "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "-", "period": ".", "slash": "/", "zero": "0", "one": "1",
+    "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";",
+    "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]",
+    "asciicircum": "^", "underscore": "_", "quoteleft": "`", "braceleft": "{", "braceright": "}", "asciitilde": "~", "endash": "–", "emdash": "—",
+    "quotedblleft": "“", "quotedblright": "”", "bullet": "•", "ellipsis": "…", "perthousand": "‰", "guilsinglleft": "‹", "guilsinglright": "›",
+    "Euro": "€", "trademark": "™", "copyright": "©", "registered": "®", "paragraph": "¶", "section": "§", "yen": "¥", "sterling": "£", "cent": "¢",
+    "florin": "ƒ", "degree": "°", "plusminus": "±", "multiply": "×", "divide": "÷", "dagger": "†", "daggerdbl": "‡", "Agrave": "À", "Aacute": "Á",
+    "Acircumflex": "Â", "Atilde": "Ã", "Adieresis": "Ä", "Aring": "Å", "AE": "Æ", "Ccedilla": "Ç", "Egrave": "È", "Eacute": "É", "Ecircumflex": "Ê",
+    "Edieresis": "Ë", "Igrave": "Ì", "Iacute": "Í", "Icircumflex": "Î", "Idieresis": "Ï", "Eth": "Ð", "Ntilde": "Ñ", "Ograve": "Ò", "Oacute": "Ó",
+    "Ocircumflex": "Ô", "Otilde": "Õ", "Odieresis": "Ö", "Oslash": "Ø", "OE": "Œ", "Ugrave": "Ù", "Uacute": "Ú", "Ucircumflex": "Û", "Udieresis": "Ü",
+    "Yacute": "Ý", "Ydieresis": "Ÿ", "Thorn": "Þ", "germandbls": "ß", "agrave": "à", "aacute": "á", "acircumflex": "â", "atilde": "ã",
+    "adieresis": "ä", "aring": "å", "ae": "æ", "ccedilla": "ç", "egrave": "è", "eacute": "é", "ecircumflex": "ê", "edieresis": "ë", "igrave": "ì",
+    "iacute": "í", "icircumflex": "î", "idieresis": "ï", "eth": "ð", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocircumflex": "ô", "otilde": "õ",
+    "odieresis": "ö", "oslash": "ø", "oe": "œ", "ugrave": "ù", "uacute": "ú", "ucircumflex": "û", "udieresis": "ü", "yacute": "ý", "ydieresis": "ÿ",
+    "thorn": "þ", "fi": "ﬁ", "fl": "ﬂ", "ff": "ﬀ", "ffi": "ﬃ", "ffl": "ﬄ", "exclamdown": "¡", "questiondown": "¿", "guillemotleft": "«",
+    "guillemotright": "»", "space": " ", "bar": "|", "nbspace": " ",
+}
 
 
 def glyph_text(name: str) -> str | None:
@@ -150,12 +155,16 @@ def to_unicode(data: bytes) -> dict[int, str]:
 
 
 DEFAULT_WIDTH = 0.5
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 
 
 class Font:
     """Decoder and widths of a font dictionary; without one, each byte is Latin-1 and half an em."""
 
+    KEPT = 5_000
+
     def __init__(self, file: File | None = None, info: dict | None = None):
+        self.known: dict[bytes, tuple] = {}
         self.composite, self.widths, self.default = False, {}, DEFAULT_WIDTH
         self.differences: dict[int, str] = {}
         self.table: dict[int, str] | None = None
@@ -198,3 +207,18 @@ class Font:
                 text = chr(code) if code < 0xD800 or code > 0xDFFF else ""
             out.append((code, text, self.widths.get(code, self.default)))
         return out
+
+    def decoded(self, shown: bytes) -> tuple[list[str], list[float], frozenset[int], list[int] | None]:
+        """Texts without control characters, widths, places of word spaces, and places of the codes that have a
+        text (None: all). Kept for up to ``KEPT`` strings."""
+        got = self.known.get(shown)
+        if got is None:
+            codes = self.codes(shown)
+            texts = [t if t.isprintable() else _CONTROL.sub("", t) for _, t, _ in codes]
+            spaces = frozenset() if self.composite else frozenset(k for k, (c, _, _) in enumerate(codes) if c == 32)
+            seen = None if all(texts) else [k for k, t in enumerate(texts) if t]
+            got = texts, [w for _, _, w in codes], spaces, seen
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[shown] = got
+        return got

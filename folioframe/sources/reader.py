@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ContentStream, LayoutError, Pdf
@@ -16,8 +19,11 @@ from .pdf_content import TextMachine, is_scanned, operations
 from .pdf_fonts import Font
 from .pdf_objects import File, Stream
 
-_RUN = "struct<texts:array<string>,widths:array<float>,spaced:array<boolean>,m:struct<a:float,b:float,c:float,d:float,e:float,f:float>,font:string,size:float,tc:float,tw:float,th:float,rise:float>"
-PARSED = f"doc_id string, page_index int, width float, height float, rotation smallint, doctop_offset float, is_scanned boolean, error struct<kind:string,page:int,reason:string>, n_pages int, runs array<{_RUN}>"
+#: A shown string: its glyphs with their widths (em) and starts (text space), the number of the first glyph on the page, and its state.
+_RUN = "struct<texts:array<string>,widths:array<float>,starts:array<double>,first:int,m:struct<a:double,b:double,c:double,d:double,e:double,f:double>,font:string,size:double,th:double,rise:double>"
+PARSED = f"doc_id string, page_index int, width float, height float, rotation smallint, doctop_offset float, is_scanned boolean, error struct<kind:string,page:int,reason:string>, n_pages int, ms double, runs array<{_RUN}>"
+#: Glyphs and runs that a worker holds before it hands them on.
+BATCH = 200_000
 LETTER = (612.0, 792.0)
 
 
@@ -50,31 +56,33 @@ def _content(file: File, page: dict) -> bytes:
     return b"\n".join(file.decoded(s) for s in map(file.deref, parts) if isinstance(s, Stream))
 
 
-def _fonts(file: File, page: dict) -> dict[str, Font]:
+def _fonts(file: File, page: dict, known: dict[int, Font]) -> dict[str, Font]:
+    """Fonts of a page by name; each font object of a file is read once."""
     resources = file.inherited(page, "Resources")
     fonts = file.deref(resources.get("Font")) if isinstance(resources, dict) else None
     out = {}
     for name, info in (fonts if isinstance(fonts, dict) else {}).items():
         info = file.deref(info)
         if isinstance(info, dict):
-            out[name] = Font(file, info)
+            if id(info) not in known:
+                known[id(info)] = Font(file, info)
+            out[name] = known[id(info)]
     return out
 
 
-def parse(data: bytes, pages: list[int] | None = None, need: str = "chars") -> list[dict]:
-    """Rows of the pages of a file; a file that cannot be read is one row with an error.
-
-    ``pages`` limits the work to some page numbers; ``need`` "pages" leaves out the glyph runs.
-    """
-    blank = dict.fromkeys(("page_index", "width", "height", "rotation", "doctop_offset", "is_scanned", "error", "n_pages", "runs"))
+def _rows(data: bytes, pages: list[int] | None, need: str) -> Iterator[dict]:
+    blank = dict.fromkeys(("page_index", "width", "height", "rotation", "doctop_offset", "is_scanned", "error", "n_pages", "ms"))
+    began = time.perf_counter()
     try:
         file = File(data)
         tree = file.pages()
     except LayoutError as e:
-        return [blank | {"error": e.struct(), "n_pages": 0, "runs": []}]
+        yield blank | {"error": e.struct(), "n_pages": 0, "runs": [], "ms": (time.perf_counter() - began) * 1000}
+        return
     except (RecursionError, ValueError, TypeError, KeyError, IndexError) as e:
-        return [blank | {"error": Pdf(repr(e)).struct(), "n_pages": 0, "runs": []}]
-    rows, offset = [], 0.0
+        yield blank | {"error": Pdf(repr(e)).struct(), "n_pages": 0, "runs": [], "ms": (time.perf_counter() - began) * 1000}
+        return
+    offset, known = 0.0, {}
     for i, page in enumerate(tree):
         w, h, ox, oy, turn = page_metrics(file, page)
         shown = (h, w) if turn in (90, 270) else (w, h)
@@ -86,34 +94,75 @@ def parse(data: bytes, pages: list[int] | None = None, need: str = "chars") -> l
             ops = operations(_content(file, page))
             row["is_scanned"] = is_scanned(ops)
             if need == "chars":
-                machine = TextMachine(_fonts(file, page), G.page_transform(w, h, ox, oy, turn))
+                machine = TextMachine(_fonts(file, page, known), G.page_transform(w, h, ox, oy, turn))
                 for op, args in ops:
                     machine.step(op, args)
                 row["runs"] = machine.runs
         except (LayoutError, RecursionError, ValueError, TypeError, KeyError, IndexError, OverflowError) as e:
             row["error"] = ContentStream(i, f"decode content: {e}").struct()
-        rows.append(row)
-    return rows or [blank | {"n_pages": 0, "runs": []}]
+        row["ms"] = (time.perf_counter() - began) * 1000
+        yield row
+        began = time.perf_counter()
+    if not tree:
+        yield blank | {"n_pages": 0, "runs": [], "ms": (time.perf_counter() - began) * 1000}
 
 
-def parse_column(docs: DataFrame, content: str = "content", doc_id: str = "doc_id", pages: list[int] | None = None, need: str = "chars") -> DataFrame:
-    """One row for each page of the files in a binary column (schema PARSED)."""
+def parse(data: bytes, pages: list[int] | None = None, need: str = "chars") -> list[dict]:
+    """Rows of the pages of a file; a file that cannot be read is one row with an error.
+
+    ``pages`` limits the work to some page numbers; ``need`` "pages" leaves out the glyph runs. ``ms`` is the
+    time spent on the row, that of reading the file's objects included in the first.
+    """
+    return list(_rows(data, pages, need))
+
+
+def _batch(ids: list, rows: list[dict], schema):
+    """Rows of pages as an Arrow batch, column by column."""
     import pyarrow as pa
 
+    runs = [x for r in rows for x in r["runs"]]
+    first = []
+    for r in rows:
+        n = 0
+        for x in r["runs"]:
+            first.append(n)
+            n += len(x[0])
+    run_type = schema.field("runs").type
+    kinds = {f.name: f.type for f in run_type.value_type}
+    ends = pa.array(np.append(0, np.cumsum([len(x[0]) for x in runs])).astype(np.int32))
+
+    def lists(k: int, name: str):
+        return pa.ListArray.from_arrays(ends, pa.array(chain.from_iterable(x[k] for x in runs), kinds[name].value_type), type=kinds[name])
+
+    m = np.array([x[3] for x in runs], np.float64).reshape(-1, 6)
+    matrix = pa.StructArray.from_arrays([pa.array(m[:, k]) for k in range(6)], fields=list(kinds["m"]))
+    parts = [lists(0, "texts"), lists(1, "widths"), lists(2, "starts"), pa.array(first, pa.int32()), matrix, pa.array([x[4] for x in runs], pa.string()), *(pa.array([x[k] for x in runs], pa.float64()) for k in (5, 6, 7))]
+    flat = pa.StructArray.from_arrays(parts, fields=list(run_type.value_type))
+    own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r["runs"]) for r in rows])).astype(np.int32)), flat, type=run_type)
+    names = schema.names[1:-1]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(pa.array([r[n] for r in rows], schema.field(n).type) for n in names), own], schema=schema)
+
+
+def parse_column(docs: DataFrame, content: str = "content", doc_id: str = "doc_id", pages: list[int] | None = None, need: str = "chars") -> DataFrame:
+    """One row for each page of the files in a binary column (schema PARSED)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(PARSED))
 
-    def clean(run: dict) -> dict:
-        return run | {"m": dict(zip("abcdef", run["m"], strict=True))}
-
     def emit(batches: Iterator) -> Iterator:
+        ids, rows, held = [], [], 0
         for batch in batches:
             for doc, data in zip(batch.column("_d").to_pylist(), batch.column("_c"), strict=True):
-                rows = parse(data.as_py() or b"", pages, need)
-                full = [{"doc_id": doc} | r | {"runs": [clean(x) for x in r["runs"]]} for r in rows]
-                yield pa.RecordBatch.from_pylist(full, schema)
+                for row in _rows(data.as_py() or b"", pages, need):
+                    ids.append(doc)
+                    rows.append(row)
+                    held += 50 + sum(len(x[0]) for x in row["runs"])
+                    if held > BATCH:
+                        yield _batch(ids, rows, schema)
+                        ids, rows, held = [], [], 0
+        if rows:
+            yield _batch(ids, rows, schema)
 
     return docs.select(F.col(doc_id).cast("string").alias("_d"), F.col(content).alias("_c")).mapInArrow(emit, PARSED)
 
@@ -139,14 +188,11 @@ def raise_errors(parsed: DataFrame) -> DataFrame:
 
 
 def glyph_table(parsed: DataFrame) -> DataFrame:
-    """Glyphs from runs: advances by a running sum, boxes by affine columns, all in Catalyst."""
-    runs = parsed.select(*PAGE, "height", "doctop_offset", F.posexplode("runs").alias("_run", "r"))
-    codes = runs.select(*PAGE, "height", "doctop_offset", "_run", "r", F.posexplode(F.arrays_zip("r.texts", "r.widths", "r.spaced")).alias("_k", "z"))
+    """Glyphs from runs: boxes by affine columns, row by row, without a shuffle."""
+    runs = parsed.select(*PAGE, "height", "doctop_offset", F.explode("runs").alias("r"))
+    codes = runs.select(*PAGE, "height", "doctop_offset", "r", F.posexplode(F.arrays_zip("r.texts", "r.widths", "r.starts")).alias("_k", "z"))
     r, z, m = F.col("r"), F.col("z"), F.col("r.m")
-    advance = f32((z["widths"] * r["size"] + r["tc"] + F.when(z["spaced"], r["tw"]).otherwise(f32(0.0))) * r["th"])
-    w = Window.partitionBy(*PAGE, "_run").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    codes = codes.withColumn("_a", f32(F.coalesce(F.sum(advance).over(w), F.lit(0.0))))
-    a = F.col("_a")
+    a = z["starts"]
     ox = f32(m["a"] * a + m["c"] * r["rise"] + m["e"])
     oy = f32(m["b"] * a + m["d"] * r["rise"] + m["f"])
     uy = f32(m["b"] * a + m["d"] * (r["rise"] + r["size"]) + m["f"])
@@ -155,9 +201,8 @@ def glyph_table(parsed: DataFrame) -> DataFrame:
     one, two = f32(F.col("height") - uy), f32(F.col("height") - oy)
     glyphs = codes.select(
         *PAGE,
-        "_run",
-        "_k",
-        F.regexp_replace(z["texts"], r"\p{Cc}", "").alias("text"),
+        (r["first"] + F.col("_k")).alias("idx"),
+        z["texts"].alias("text"),
         F.least(ox, right).alias("x0"),
         F.greatest(ox, right).alias("x1"),
         F.least(one, two).alias("top"),
@@ -166,9 +211,8 @@ def glyph_table(parsed: DataFrame) -> DataFrame:
         r["font"].alias("fontname"),
         G.is_upright(m).alias("upright"),
         "doctop_offset",
-    ).where("text <> ''")
-    order = Window.partitionBy(*PAGE).orderBy("_run", "_k")
-    return glyphs.select(*PAGE, (F.row_number().over(order) - 1).alias("idx"), "text", "x0", "x1", "top", "bottom", f32(F.col("top") + F.col("doctop_offset")).alias("doctop"), "size", "fontname", "upright")
+    )
+    return glyphs.select(*PAGE, "idx", "text", "x0", "x1", "top", "bottom", f32(F.col("top") + F.col("doctop_offset")).alias("doctop"), "size", "fontname", "upright")
 
 
 def udtf_pdf_pages():

@@ -62,11 +62,18 @@ def words_pdf(pages: list[list[tuple[str, float, float]]], size: float = 12.0, f
     return pages_pdf(streams, flate=flate)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt by document into as many partitions as shuffles have. Files are small but cost much work, so the
+    number must not be lowered by their size."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, "doc_id")
+
+
 def write_documents(words: DataFrame) -> DataFrame:
     """doc_id and content (a PDF file) from a table of words (doc_id, page_index, text, x, top)."""
     import pyarrow as pa
 
-    pages = words.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("top", "x", "text"))).alias("w"))
+    pages = spread(words).groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("top", "x", "text"))).alias("w"))
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "w"))).alias("pages"))
 
     def emit(batches: Iterator) -> Iterator:
@@ -106,7 +113,7 @@ def write_objects(objects: DataFrame) -> DataFrame:
     """doc_id and content (a PDF file) from the objects of each file (doc_id, number, body)."""
     import pyarrow as pa
 
-    docs = objects.groupBy("doc_id").agg(F.collect_list(F.struct("number", "body")).alias("objects"))  # one file's
+    docs = spread(objects).groupBy("doc_id").agg(F.collect_list(F.struct("number", "body")).alias("objects"))  # one file's
 
     def emit(batches: Iterator) -> Iterator:
         for batch in batches:

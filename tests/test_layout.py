@@ -143,7 +143,7 @@ def test_layout_edges(spark):
     assert sane_density(NAN, 7.25) == 7.25 and sane_density(-1, 2.0) == 2.0 and sane_density(3.0, 2.0) == 3.0
 
 
-@pytest.mark.parametrize("keys,n", [([1.0, 1.5, 2.0, 2.4], 1), ([1.0, 1.5, 5.0, 5.4], 2), ([5.0, 1.0, 5.5, 1.5], 2), ([0.0, 0.9, 1.7, 2.5, 3.0], 1), ([NAN, 1.0, NAN, 2.0], 3)])
+@pytest.mark.parametrize("keys,n", [([7.25], 1), ([0.0, 1.0, 2.0, 3.0, 4.5], 2), ([20.0, 3.5, 21.0, 2.75, 40.0], 3), ([10.0, 10.0, 12.5, 11.25], 3), ([NAN, 6.0, 6.5, NAN], 3)])
 def test_cluster(spark, keys, n):
     df = spark.createDataFrame([("p", i, k) for i, k in enumerate(keys)], "p string, i int, k float")
     got = cluster(df, "k", 1.0, ["p"], ["i"])
@@ -167,12 +167,19 @@ def test_fonts():
     assert differences([300, Name("bullet"), 65, Name("copyright")]) == {65: "©"}
     assert differences([32, Name("space"), Name("exclam"), Name("nosuch"), Name("at")]) == {32: " ", 33: "!", 35: "@"}
     assert glyph_text("uniD800") is None and glyph_text("uni05D0") == "א" and glyph_text("/copyright") == "©" and glyph_text("nosuch") is None
-    assert len(GLYPH_NAMES) == 146
+    assert len(GLYPH_NAMES) == 144
     assert cid_widths([10, [500, 600]]) == {10: 0.5, 11: 0.6}
     assert cid_widths([20, 22, 700]) == {20: 0.7, 21: 0.7, 22: 0.7}
     assert cid_widths([30, 10, 500, 99]) == {} and len(cid_widths([0, 4_000_000_000, 500])) <= 65_536
 
 
+def test_operations():
+    """Plain tokens and all others give the same operations; payloads of inline images are skipped."""
+    text = b"true /N#41 (a\\)b) [(x) -5.5 [1 null] <4a>] TJ null false x 1. .5 -.5 +7 1e2 <4 1> % note\n/A<< /B 2 >> BDC f* n (q(r)s) ' BI /W 1 ID \x01 Q EI Q"
+    want = [("TJ", [True, Name("NA"), b"a)b", [b"x", -5.5, [1, None], b"J"]]), ("x", [None, False]), ("BDC", [1.0, 0.5, -0.5, 7, 100.0, b"A", Name("A"), {"B": 2}]), ("f*", []), ("n", []), ("'", [b"q(r)s"]), ("BI", []), ("Q", [])]
+    assert operations(text) == want
+
+
 def test_scan_detection():
     for text, want in (("BT (a) Tj ET", False), ("q 1 0 0 1 0 0 cm /I Do Q", True), ("", False), ("0 0 m 1 1 l S", False), ("BI /W 1 ID \x00(BT\xff EI Q", True)):
         assert is_scanned(operations(text.encode("latin-1"))) is want, text
