@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import f32
 from ..operators.text import extract_text_layout
 from ..schemas import PAGE
-from ..sinks import render_pages, skipped_pages, to_json
+from ..sinks import render_pages, samples, skipped_pages, to_json
 from ..sources.reader import glyph_table, pages_table, parse_column
 from ..sources.writer import page_objects, write_objects
 from .inputs import table
@@ -271,6 +271,36 @@ def glyph_name_join(spark: SparkSession, d: str) -> DataFrame:
     return _keyed_pages(whole, _first_keys(spark, d)).select("p_partkey", "name")
 
 
+_MAC = "ÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü"
+
+
+def font_encodings(spark: SparkSession, d: str) -> DataFrame:
+    """Codes by the encodings of Windows, Macintosh and Adobe's standard, and by a font that a page lacks.
+
+    A file for each nation; the place of a glyph tells its code.
+    """
+    kind = F.pmod("n_nationkey", F.lit(4)).cast("int")
+    font = F.concat(F.lit("<< /Type /Font /Subtype /Type1 /BaseFont /X /Encoding /"), F.element_at(F.array(*map(F.lit, ["WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding", "WinAnsiEncoding"])), kind + 1), F.lit(" >>"))
+    ranges = {0: [*range(32, 127), *range(161, 256)], 1: range(32, 160), 2: range(32, 127), 3: [*range(32, 127), *range(160, 256)]}
+    shown = F.element_at(F.array(*(F.lit("".join(f"{c:02X}" if c in own else "00" for c in range(256))) for own in ranges.values())), kind + 1)
+    stream = F.concat(F.lit("BT /F"), F.when(kind == 3, "9").otherwise("1"), F.lit(" 2 Tf <"), shown, F.lit("> Tj ET"))
+    pages = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), F.array(stream).alias("streams"), F.lit("").alias("extra"), font.alias("font"))
+    g = _glyphs(pages, F.col("font"))
+    return g.select(F.col("doc_id").cast("long").alias("n_nationkey"), F.round("x0").cast("long").alias("code"), "text", "fontname")
+
+
+def bench_samples(spark: SparkSession, d: str) -> DataFrame:
+    """B1: a sample of each file: those of the orders, and one for each supplier that is no PDF file."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey")
+    n = (F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) - 1).cast("int")
+    shown = F.when(F.pmod("o_orderkey", F.lit(4)) == 0, F.lit("/I Do")).otherwise(F.concat(F.lit("BT /F1 8 Tf ("), F.col("o_orderkey").cast("string"), F.lit(") Tj ET")))
+    files = write_objects(page_objects(o.select("doc_id", n.alias("page_index"), F.array(shown).alias("streams"), F.lit("").alias("extra")), PLAIN_FONT))
+    bad = table(spark, d, "supplier").select(F.concat(F.lit("folder/"), F.col("s_suppkey"), F.lit(".pdf")).alias("doc_id"), F.col("s_name").cast("binary").alias("content"))
+    files = files.unionByName(bad)
+    got = samples(parse_column(files), files.select("doc_id", F.length("content").cast("long").alias("length")))
+    return got.select("name", "pages", "chars", "scanned_pages", (F.col("duration_ms") > 0).alias("timed"), "error")
+
+
 # ---- errors ------------------------------------------------------------------------------------
 
 
@@ -289,7 +319,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_metrics, rotation_normalize, doctop_offsets, page_transform, skipped_pages_report, recipe_route_scanned, cli_text, cli_marked, json_pages, inheritable_attr, text_state, state_fold_depth, scan_detect,
-        glyph_advance, glyph_boxes, font_width_lookup, cid_range_expand, differences_fill, glyph_name_join, pdf_errors,
+        glyph_advance, glyph_boxes, font_width_lookup, cid_range_expand, differences_fill, glyph_name_join, font_encodings, bench_samples, pdf_errors,
     )
 }
 
@@ -323,5 +353,8 @@ ORACLES = {
     "cid_range_expand": "with p as (select p_partkey // 100 f, p_partkey % 100 j, p_size s from part), c as (select f, j * 50 + u.o cid, case when j % 2 = 0 then s * 10 else s * 10 + u.o end em from p, unnest(range(0, case when j % 2 = 0 then s else 3 end)) u(o)) select f::varchar doc_id, cid::bigint cid, em::bigint em from c union all select distinct f::varchar, 6144, 500 from p",
     "differences_fill": "with i as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) n from lineitem), s as (select * from i where n % 3 = 1), c as (select i.l_orderkey, i.n, (s.l_partkey % 250 + i.n - s.n - 1) code from i asof join s on i.l_orderkey = s.l_orderkey and i.n >= s.n where i.n % 3 <> 1) select l_orderkey, code::bigint code, max(n)::bigint n from c where code <= 255 group by all",
     "glyph_name_join": "select p_partkey, p_name \"name\" from part",
+    "font_encodings": f"""with c as (select n_nationkey, n_nationkey % 4 k, u.c from nation, unnest(range(32, 256)) u(c)) select n_nationkey, c::bigint code, case when k = 0 and c = 173 then '-' when k = 1 and c >= 128 then '{_MAC}'[(c - 127)::int] when k = 2 and c = 39 then '’' when k = 2 and c = 96 then '‘' else chr(c::int) end as text, case when k = 3 then 'F9' else 'F1' end fontname
+ from c where c < 127 or k in (0, 3) and c >= 161 or k = 3 and c = 160 or k = 1 and c between 128 and 159""",
+    "bench_samples": "select o_custkey::varchar \"name\", count(*) pages, (sum(case when o_orderkey % 4 = 0 then 0 else length(o_orderkey::varchar) end))::bigint chars, count(*) filter (o_orderkey % 4 = 0) scanned_pages, true timed, null::varchar error from orders group by all union all select s_suppkey || '.pdf', 0, 0, 0, true, 'PDF parse error: no header' from supplier",
     "pdf_errors": "select case doc_id % 4 when 2 then 'Unsupported' when 3 then 'ContentStream' else 'Pdf' end kind, case when doc_id % 4 = 3 then 0 end::int page, count(*) n from documents group by all",
 }

@@ -60,7 +60,9 @@ def invoice_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glyph table of the documents; every seventh glyph is not upright, z stands for a ligature."""
+    """Glyph table of the documents; every seventh glyph is not upright, z stands for a ligature.
+
+    A null text has no glyphs, like an empty one."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
     per = F.lit(LINES_PER_PAGE)
