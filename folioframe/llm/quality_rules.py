@@ -141,5 +141,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: ``quality_rules`` over all documents."""
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """Contract query: ``quality_rules`` over all documents, distances to six decimals."""
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op4_decontamination
 from .jaccard_join import op6_jaccard_join
 from .line_dedup import op9_line_dedup
+from .oracle_sql import JACCARD_JOIN, QUALITY_RULES, SUBSTRING_DEDUP, SUFFIX_DEDUP
 from .packing import op7_packing
 from .pii import op8_pii
 from .quality_rules import op5_quality_rules
@@ -24,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the exact operators; models, alignments, searches and packings are compared with plain versions in tests."""
+    return {"op1_suffix_dedup": SUFFIX_DEDUP, "op3_substring_dedup": SUBSTRING_DEDUP, "op5_quality_rules": QUALITY_RULES, "op6_jaccard_join": JACCARD_JOIN}

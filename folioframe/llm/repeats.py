@@ -137,7 +137,7 @@ def _blocks(reps: DataFrame, unit, block: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
-    """Starts of repeated windows of each text: _d, _h and ``spans``, a list of (l, r) first and last start.
+    """Starts of repeated windows of each text: _d, _h and ``spans``, a list of first start << 32 | last start - first start.
 
     ``docs`` comes from ``keyed``. across=False: a window counts if its content also starts anywhere
     else. across=True: if it also starts in a text with a smaller ``_d``; null ids come last, and texts
@@ -190,7 +190,8 @@ def repeated_windows(docs: DataFrame, unit, across: bool) -> DataFrame:
     anchor = F.shiftright("lr", 32) + F.col("off")
     cut = F.transform("parts", lambda p: F.shiftleft(anchor - p["hi"], 32) + (anchor - p["lo"]))
     found = plain.unionByName(members.select("_d", "_h", F.explode(F.when(again, F.array("lr")).otherwise(cut)).alias("lr")))
-    return found.groupBy("_d", "_h").agg(F.collect_set("lr").alias("spans"))
+    # As start and width: the set's hash of (l, l) would be 0 for every l, and a text of one repeated character is a million of these.
+    return found.groupBy("_d", "_h").agg(F.collect_set(F.col("lr") - F.shiftright("lr", 32)).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -201,8 +202,8 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def covered(length: int, spans: np.ndarray, size: int) -> np.ndarray:
     """Mask of the units that windows of ``size`` at these packed starts cover."""
-    edge = np.zeros(length + 1, np.int64)
-    np.add.at(edge, spans >> 32, 1)
-    np.add.at(edge, (spans & 0xFFFFFFFF) + size, -1)
+    edge, first = np.zeros(length + 1, np.int64), spans >> 32
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + (spans & 0xFFFFFFFF) + size, -1)
     return np.cumsum(edge[:-1]) > 0
 

@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -404,8 +406,13 @@ def scan(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[list[tup
                 fixed = base_spans(text)
             found = tagger.spans(raw, b - lo, e - lo, plain[at[i] : at[i + 1]])
             if found:
-                points = [(len(raw[:x].decode()), len(raw[:y].decode()), "crf") for x, y in found]
-                fixed = sorted(fixed + [p for p in points if not any(x <= p[0] and p[1] <= y for x, y, _ in fixed)], key=lambda x: (x[0], KINDS.index(x[2])))
+                # Code points before each byte, once for the text; and for spans by start, the farthest end so far.
+                before = np.append(0, np.cumsum((part[lo:hi] & 0xC0) != 0x80))
+                starts = [x for x, _, _ in fixed]
+                reach = list(accumulate((y for _, y, _ in fixed), max))
+                points = [(int(before[x]), int(before[y]), "crf") for x, y in found]
+                added = [p for p in points if not (k := bisect_right(starts, p[0])) or reach[k - 1] < p[1]]
+                fixed = sorted(fixed + added, key=lambda x: (x[0], KINDS.index(x[2])))
             out.append(fixed)
     return out
 
