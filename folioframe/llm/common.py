@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,13 @@ def binary_parts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def sliced(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Parts of at most ``rows`` rows of Arrow batches, so that what a worker makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit name for the pair (a, b); equal pairs get equal names everywhere."""
     x = a * U64(0x9E3779B97F4A7C15 ^ (salt * 2 & 0xFFFF))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, binary_parts, chunks, keyed, materialize, packed, table
+from .common import U64, binary_parts, chunks, keyed, materialize, packed, sliced, table
 from .recompression import RangeNames, word_names, words
 
 N, THRESHOLD, RADIUS, BLOCKS, MIN_WORDS, SLICE = 5, 0.8, 15, 4, 8, 4096
@@ -185,7 +185,7 @@ def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     kind = benchmark.schema[item_col].dataType.simpleString()
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = binary_parts(batch.column("t"))
             names = [_word_names(data[a:b])[0] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             runs = [_runs(x, N).view(np.int64) if len(x) >= MIN_WORDS else [] for x in names]
@@ -212,7 +212,7 @@ def _searched(rows: DataFrame, shared, kind: str) -> DataFrame:
 
     def emit(batches: Iterator) -> Iterator:
         index = Index([(i, np.frombuffer(n, U64), np.frombuffer(h, np.int32)) for i, n, h in shared.value])
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(index.leaks(*binary_parts(batch.column("_t"))), arrow)], names=["_k", "leaks"])
 
     return rows.mapInArrow(emit, f"_k {rows.schema['_k'].dataType.simpleString()}, leaks {schema}")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, binary_parts, chunks, keyed, materialize, mix, table
+from .common import U64, binary_parts, chunks, keyed, materialize, mix, sliced, table
 from .components import components
 from .recompression import RangeNames, word_names, words
 
@@ -108,7 +108,7 @@ def _signed(rows: DataFrame, n: int, bands: int, per: int) -> DataFrame:
     def emit(batches: Iterator) -> Iterator:
         salts = _salts(bands * per)
         place = np.arange(bands, dtype=U64)
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(*binary_parts(batch.column("_t")), n)
             full = [s for s in sets if len(s)]
             low = signatures(full, salts).reshape(len(full), bands, per)

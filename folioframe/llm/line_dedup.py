@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, keyed, materialize, packed, table
+from .common import U64, keyed, materialize, packed, sliced, table
 from .recompression import RangeNames
 
 MIN_LINE, RARE, MIN_BLOCK = 20, 32, 20
@@ -126,7 +126,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     copies = copies.select(F.col("k._d").alias("_d"), F.col("k._h").alias("_h"), F.sequence(F.lit(0), F.col("n") - 1).alias("gone"))
 
     def name(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             hashes, sizes = batch.column("hash"), batch.column("size")
             at = hashes.offsets.to_numpy().astype(np.int64)
             found = windows(hashes.flatten().to_numpy().view(U64), sizes.flatten().to_numpy().astype(np.int64), at - at[0])
@@ -150,7 +150,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     kind = rows.schema["_d"].dataType.simpleString()
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches, 64):  # lists of lines become Python objects here
             a, b, size = (batch.column(c).to_pylist() for c in ("k_hash", "first_hash", "k_size"))
             gone = [blocks(x, y, s, MIN_BLOCK) for x, y, s in zip(a, b, size, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_h"), pa.array(gone, pa.list_(pa.int32()))], names=["_d", "_h", "gone"])

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sliced, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -81,7 +81,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
 
     def emit(batches: Iterator) -> Iterator:
         count = TokenCounter(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             n = [count(t) if t else 0 for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_d"), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
 

@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sliced, table
 
 KEY = b"replace this key"
 MAX_BROADCAST = 50_000
@@ -304,7 +304,7 @@ def name_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     import pyarrow as pa
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             found = sorted({e for t in batch.column("_t").to_pylist() for e in _names_of(t)})
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["kind", "canon"])
 
@@ -346,7 +346,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
     shared = spark.sparkContext.broadcast({(r["kind"], r["canon"]): r["new"] for r in late.collect()} if small else {})
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, kinds = [], []
             own = batch.column("_x").to_pylist() if "_x" in batch.schema.names else [None] * batch.num_rows
             for t, x in zip(batch.column("_t").to_pylist(), own, strict=True):
@@ -367,7 +367,7 @@ def _with_exceptions(rows: DataFrame, late: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(i, *e) for i, t in enumerate(batch.column("_t").to_pylist()) for e in _names_of(t)]
             at = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from .common import U64, binary_parts, materialize, mix
+from .common import U64, binary_parts, materialize, mix, sliced
 
 RUN_FIELDS = ("doc", "sym", "rk", "l", "r", "a")
 #: Windows in a block of the middle step.
@@ -38,7 +38,7 @@ def _rows(docs: DataFrame, unit) -> DataFrame:
     import pyarrow as pa
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = binary_parts(batch.column("_t"))
             found = unit.runs(data, offsets)
             at = pa.array(found["doc"])
@@ -70,7 +70,7 @@ def _slices(docs: DataFrame, reps: DataFrame, unit) -> DataFrame:
     both = both.join(lists.withColumnsRenamed({"_d": "_d2", "_h": "_h2"}).hint("merge"), F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")))
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = binary_parts(batch.column("_t"))
             runs = batch.column("runs")
             flat, sizes = runs.flatten(), np.diff(np.asarray(runs.offsets))

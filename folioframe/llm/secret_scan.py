@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, binary_parts, chunks, lowest_share, table
+from .common import WORD_PATTERN, binary_parts, chunks, lowest_share, sliced, table
 
 KINDS = ("assign", "access", "hex", "crf")
 TRAIN_DOCS, TRAIN_CHARS = 60, 20_000
@@ -442,7 +442,7 @@ def find_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
 
     def emit(batches: Iterator) -> Iterator:
         tagger = Tagger(Field(*shared.value))
-        for batch in batches:
+        for batch in sliced(batches):
             out = [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in scan(*binary_parts(batch.column("_t")), tagger)]
             yield pa.RecordBatch.from_arrays([batch.column("_d"), pa.array(out, kind)], names=[id_col, "secrets"])
 

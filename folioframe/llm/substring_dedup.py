@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, keyed, table
+from .common import binary_parts, keyed, sliced, table
 from .recompression import ROUNDS, WordUnit, words
 from .repeats import covered, repeated_windows, with_spans
 
@@ -36,7 +36,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, rounds: int = ROUNDS, id_
     both = with_spans(rows, spans).select("_d", F.col("_t").cast("binary").alias("_t"), "spans")
 
     def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = binary_parts(batch.column("_t"))
             kept, total, removed = [], [], []
             for i, own in enumerate(batch.column("spans")):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, keyed, table
+from .common import binary_parts, keyed, sliced, table
 from .repeats import covered, repeated_windows, with_spans
 from .suffix_names import ByteUnit
 
@@ -37,7 +37,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
 
     def emit(batches: Iterator) -> Iterator:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = binary_parts(batch.column("_t"))
             kept, removed = [], []
             for i, own in enumerate(batch.column("spans")):

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_parts, chunks, lowest_share, materialize, table
+from .common import binary_parts, chunks, lowest_share, materialize, sliced, table
 from .recompression import word_names, words
 
 BITS = 18
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model
 
     def count(batches: Iterator) -> Iterator:
         sums = np.zeros((FOLDS * 2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             bucket, first = _tokens(*binary_parts(batch.column("_t")))
             group = np.asarray(batch.column("fold")) * 2 + np.asarray(batch.column("toxic"))
             key = np.repeat(group, np.diff(first)).astype(np.int64) * BUCKETS + bucket
@@ -169,7 +169,7 @@ def fit(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model
 
     def judge(batches: Iterator) -> Iterator:
         weights, lam = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             bucket, first = _tokens(*binary_parts(batch.column("_t")))
             out = []
             for i, f in enumerate(np.asarray(batch.column("fold")).tolist()):
@@ -214,7 +214,7 @@ def _scored(rows: DataFrame, model: Model | float, fields: list[tuple[str, str]]
 
     def emit(batches: Iterator) -> Iterator:
         weights, lam, log_k, link = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             scores, passages = [], []
             if isinstance(link, float):
                 scores, passages = [link] * batch.num_rows, [[]] * batch.num_rows
