@@ -286,7 +286,7 @@ def font_encodings(spark: SparkSession, d: str) -> DataFrame:
     stream = F.concat(F.lit("BT /F"), F.when(kind == 3, "9").otherwise("1"), F.lit(" 2 Tf <"), shown, F.lit("> Tj ET"))
     pages = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), F.array(stream).alias("streams"), F.lit("").alias("extra"), font.alias("font"))
     g = _glyphs(pages, F.col("font"))
-    return g.select(F.col("doc_id").cast("long").alias("n_nationkey"), F.round("x0").cast("long").alias("code"), "text", "fontname")
+    return g.select(F.col("doc_id").cast("int").alias("n_nationkey"), F.round("x0").cast("long").alias("code"), "text", "fontname")
 
 
 def bench_samples(spark: SparkSession, d: str) -> DataFrame:
